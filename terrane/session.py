@@ -44,10 +44,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget its lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables of one run, written to the shared folder: lineage ends there, and plans see their true sizes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, work_dir(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n:04d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, n: int) -> None:
+        """Delete the n-th table, which nothing may read any more."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n:04d}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
