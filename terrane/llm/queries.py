@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .components import group_ids, match_links
+from .leakage import clean, leaks
 from .survivorship import Rules, surviving_fields
 
 
@@ -51,5 +52,28 @@ def p5_group_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return p5_found(spark, sf).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes)}
-SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item")).select("doc_id", "item_id")
+
+
+def p9_longest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaking documents with the longest run of words of each item."""
+    return leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item"))
+
+
+def p9_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaking documents with the leaking spans cut out."""
+    return clean(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item"))
+
+
+P9_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_item),
+dg AS (SELECT doc_id, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+ig AS (SELECT item_id, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p9_found, p9_longest, p9_cleaned)}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p9_found": P9_SQL}
