@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from ..session import table
 from .components import group_ids, match_links
 from .leakage import clean, leaks
+from .mojibake import garbled_values
 from .survivorship import Rules, surviving_fields
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_restored(spark, sf).select("crm_row", "field_name")
+
+
+def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every garbled name with the restored spelling; null where bytes were lost."""
+    return garbled_values(table(spark, sf, "crm"), "crm_row", ["first_name", "last_name"]).withColumnRenamed("id", "crm_row")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return surviving_fields(table(spark, sf, "survived_field")).filter("record_id is not null").select("cluster_id", "field_name", "record_id")
 
@@ -75,5 +85,5 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p9_found, p9_longest, p9_cleaned)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p9_found, p9_longest, p9_cleaned)}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p9_found": P9_SQL}
