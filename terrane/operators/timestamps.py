@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import stage
+
 # Month names and zone abbreviations with the zones that use them (hours east of UTC, times 60).
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 DAYS = "SunMonTueWedThuFriSat"
@@ -61,11 +63,6 @@ def civil_micros(year: Column, month: Column, day: Column, hour: Column, minute:
     return F.when(real, F.unix_micros(ts) + (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000)
 
 
-def _stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns behind a one-row generator, so that later filters aren't rewritten into expressions over the raw text."""
-    return df.select("*", F.inline(F.array(F.struct(*[x.alias(k) for k, x in columns.items()]))))
-
-
 def _offset(micros: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(micros), zone)) - micros
 
@@ -105,7 +102,7 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str | None = None, ord
     for name, pattern, template in PATTERNS:
         form = form.when(v.rlike(pattern), name)
         pieces = pieces.when(c("form") == name, F.regexp_replace(v, pattern, template))
-    d = _stage(d.withColumn(names["form"], form), {names["p"]: F.split(pieces, r"\|")})
+    d = stage(d.withColumn(names["form"], form), {names["p"]: F.split(pieces, r"\|")})
 
     n = F.when(c("form") == "number", v.try_cast("decimal(38,9)"))
     start, end = 946_684_800, 4_102_444_800  # 2000-01-01 and 2100-01-01
@@ -124,7 +121,7 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str | None = None, ord
     ap, h = F.lower(part(7)), whole(part(3))
     hour = F.when(ap == "", h).when(h.between(1, 12), h % 12 + F.when(ap == "pm", 12).otherwise(0))
     frac = F.coalesce(F.rpad(F.nullif(part(6), F.lit("")), 6, "0").try_cast("int"), F.lit(0))
-    d = _stage(d, {names["num"]: num, names["y"]: whole(part(0)), names["mo"]: month, names["d"]: day, names["h"]: hour, names["mi"]: whole(part(4)), names["s"]: F.coalesce(whole(part(5)), F.lit(0)), names["fr"]: frac})
+    d = stage(d, {names["num"]: num, names["y"]: whole(part(0)), names["mo"]: month, names["d"]: day, names["h"]: hour, names["mi"]: whole(part(4)), names["s"]: F.coalesce(whole(part(5)), F.lit(0)), names["fr"]: frac})
     d = d.withColumn(names["wall"], civil_micros(*[c(k) for k in ("y", "mo", "d", "h", "mi", "s")]) + c("fr"))
     told = F.expr(f"(locate(`{names['p']}`[10], '{DAYS}') + 2) div 3")
     right_day = (part(10) == "") | (told == F.dayofweek(F.date_from_unix_date(F.floor(c("wall") / _DAY_US).cast("int"))))
@@ -142,7 +139,7 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str | None = None, ord
 
     # A wall time has the offset of the day before or of the day after, unless the zone skipped it.
     a, b = (c("wall") - _offset(c("wall") + F.lit(k * _DAY_US), c("zone")) for k in (-1, 1))
-    d = _stage(d, {names["a"]: a, names["b"]: b})
+    d = stage(d, {names["a"]: a, names["b"]: b})
     fits = lambda x: x + _offset(x, c("zone")) == c("wall")
     d = d.withColumn(names["fa"], fits(c("a"))).withColumn(names["fb"], fits(c("b")))
     fa, fb = c("fa"), c("fb")
