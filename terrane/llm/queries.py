@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .components import group_ids, match_links
 from .leakage import clean, leaks
+from .matching import match_people
 from .mojibake import garbled_values
 from .survivorship import Rules, surviving_fields
 
@@ -62,6 +63,15 @@ def p5_group_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return p5_found(spark, sf).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matched pairs with confidence, score and the agreement of each attribute."""
+    return match_people(*[table(spark, sf, t) for t in ("crm", "merger_a", "merger_c", "golden_pair")])
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_matches(spark, sf).select("record_a_id", "record_b_id")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item")).select("doc_id", "item_id")
 
@@ -85,5 +95,5 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p9_found, p9_longest, p9_cleaned)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p7_found, p7_matches, p9_found, p9_longest, p9_cleaned)}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p9_found": P9_SQL}
