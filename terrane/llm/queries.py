@@ -10,6 +10,7 @@ from .components import group_ids, match_links
 from .leakage import clean, leaks
 from .matching import match_people
 from .mojibake import garbled_values
+from .sentences import sentence_places, sentences
 from .survivorship import Rules, surviving_fields
 
 
@@ -95,5 +96,14 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p7_found, p7_matches, p9_found, p9_longest, p9_cleaned)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_places(table(spark, sf, "documents").filter("file_kind = 'prose'").select("doc_id", "text"))
+
+
+def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence with its place and text."""
+    return sentences(table(spark, sf, "documents").filter("file_kind = 'prose'").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p7_found, p7_matches, p9_found, p9_longest, p9_cleaned, p10_found, p10_sentences)}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p9_found": P9_SQL}
