@@ -10,28 +10,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 
 #: Growth rounds of one level; shifts are truncated to it, so the growth has ended when the rounds have.
-ROUNDS = 3
+ROUNDS = 4
 #: Rate of the exponential shifts: larger means smaller clusters.
-BETA = 0.7
+BETA = 0.5
+
+
+def _start(vertex: Column, level: int) -> Column:
+    """When a vertex begins a cluster of its own: ROUNDS less its exponential shift, truncated at 0."""
+    u = (F.pmod(F.xxhash64(vertex, F.lit(level)), F.lit(1 << 40)).cast("double") + 1.0) / F.lit(float(1 << 40) + 1)
+    return F.greatest(F.lit(0.0), F.lit(float(ROUNDS)) + F.log(u) / F.lit(BETA))
 
 
 def _grow(edges: DataFrame, level: int) -> DataFrame:
-    """(id, centre) of every vertex of symmetric edges (src, dst), after the shifted growth."""
-    u = (F.pmod(F.xxhash64(F.col("src"), F.lit(level)), F.lit(1 << 40)).cast("double") + 1.0) / F.lit(float(1 << 40) + 1)
-    start = F.greatest(F.lit(0.0), F.lit(float(ROUNDS)) + F.log(u) / F.lit(BETA))
-    label = edges.select("src").distinct().select(F.col("src").alias("id"), F.struct(start.alias("at"), F.col("src").alias("centre")).alias("best"))
-    for _ in range(ROUNDS):
-        offered = edges.join(label, edges.src == label.id).select(F.col("dst").alias("id"), F.struct((F.col("best.at") + 1.0).alias("at"), F.col("best.centre").alias("centre")).alias("best"))
-        label = label.unionByName(offered).groupBy("id").agg(F.min("best").alias("best"))
+    """(id, centre) of every vertex, after the shifted growth along symmetric edges (src, dst) with a loop at every vertex.
+
+    The loops carry a vertex's own arrival over to the next round, so each round is one join and one minimum.
+    """
+    step = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(1.0)
+    offer = lambda at, centre: F.struct((at + step).alias("at"), centre.alias("centre")).alias("best")
+    label = edges.select(F.col("dst").alias("id"), offer(_start(F.col("src"), level), F.col("src"))).groupBy("id").agg(F.min("best").alias("best"))
+    for _ in range(ROUNDS - 1):
+        reached = edges.join(label, edges.src == label.id).select(F.col("dst").alias("id"), offer(F.col("best.at"), F.col("best.centre")))
+        label = reached.groupBy("id").agg(F.min("best").alias("best"))
     return label.select("id", F.col("best.centre").alias("centre"))
 
 
+def _with_loops(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (src, dst) of edges given both ways, and a loop at each of their vertices."""
+    pair = F.explode(F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(a).alias("src"), F.col(a).alias("dst"))))
+    return edges.select(pair.alias("e")).select("e.*").distinct()
+
+
 def group_ids(links: DataFrame, a: str, b: str) -> DataFrame:
     """(record_id, group_id) of every record linked to another one; group_id is the least record id of the group.
 
@@ -47,7 +62,7 @@ def group_ids(links: DataFrame, a: str, b: str) -> DataFrame:
     one = names.select(F.col("record_id").alias("x"), F.col("id").alias("src"))
     two = names.select(F.col("record_id").alias("y"), F.col("id").alias("dst"))
     half = pair.join(one, "x").join(two, "y").select("src", "dst")
-    edges = scratch.put(half.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*"))
+    edges = scratch.put(_with_loops(half.union(half.select("dst", "src")), "src", "dst"))
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         at = scratch.n
@@ -56,8 +71,8 @@ def group_ids(links: DataFrame, a: str, b: str) -> DataFrame:
         c1 = grown.select(F.col("id").alias("src"), F.col("centre").alias("s"))
         c2 = grown.select(F.col("id").alias("dst"), F.col("centre").alias("d"))
         # a super-vertex with very many edges is reduced before the second join
-        moved = edges.join(c1, "src").select("s", "dst").distinct().join(c2, "dst").filter("s <> d")
-        edges = scratch.put(moved.select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
+        moved = edges.filter("src <> dst").join(c1, "src").select("s", "dst").distinct().join(c2, "dst").filter("s <> d")
+        edges = scratch.put(_with_loops(moved, "s", "d"))
         scratch.drop(at)
     if not levels:
         return names.select("record_id", F.col("record_id").alias("group_id")).limit(0)

@@ -10,6 +10,7 @@ from .components import group_ids, match_links
 from .leakage import clean, leaks
 from .matching import match_people
 from .mojibake import garbled_values
+from .packing import fill, pack, token_counts
 from .sentences import sentence_places, sentences
 from .survivorship import Rules, surviving_fields
 
@@ -73,6 +74,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_matches(spark, sf).select("record_a_id", "record_b_id")
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Which tokens of which document go into which container, for each kind."""
+    counts = token_counts(table(spark, sf, "documents").select("doc_id", "text", "n_tokens"), known="n_tokens")
+    return pack(counts, table(spark, sf, "container_kind"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers needed by kind, against the least possible number."""
+    return fill(p8_containers(spark, sf), table(spark, sf, "container_kind"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item")).select("doc_id", "item_id")
 
@@ -105,5 +117,5 @@ def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(table(spark, sf, "documents").filter("file_kind = 'prose'").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p7_found, p7_matches, p9_found, p9_longest, p9_cleaned, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_golden, p4_bundles, p5_found, p5_group_sizes, p7_found, p7_matches, p8_containers, p8_fill, p9_found, p9_longest, p9_cleaned, p10_found, p10_sentences)}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p9_found": P9_SQL}
