@@ -130,14 +130,19 @@ class Repairer:
         for end, (n, own) in _automaton().iter(f):
             if n > best.get(end - n + 1, (0,))[0]:
                 best[end - n + 1] = (n, own)
+        plain = [x for x in v if "A" <= x <= "Z" or "a" <= x <= "z"]
+        caps = len(plain) > 1 and all(x.isupper() for x in plain)
         out, i = [], 0
         while i < len(v):
             if i in best:
                 n, own = best[i]
                 before = out[-1][-1:] if out else " "
                 c = max(own, key=lambda c: self.counts.get(fold(before + c), 0))
-                garbled = v[i : i + n]
-                out.append(c if any(x.isupper() for x in garbled) or garbled == garbled.lower() and not v.islower() else c.lower())
+                if caps:
+                    c = c.upper() if len(c.upper()) == 1 else c
+                elif v.islower() or before.isalpha() and before.islower():
+                    c = c.lower()
+                out.append(c)
                 i += n
             else:
                 out.append(v[i])
@@ -176,9 +181,10 @@ class Repairer:
         lost, now = _LOST.search(v) is not None, v
         for _ in range(3):
             old = self.score(now)
-            best, gain = now, 0.0
-            for c in set(self._candidates(now)):
-                if c != now and (g := self.score(c) - old - MARGIN) > gain:
+            best, gain = now, (0.0, 0)
+            for c in sorted(set(self._candidates(now))):
+                # equal but for capitals: whole words in one case or with a capital first are more usual
+                if c != now and (g := (round(self.score(c) - old - MARGIN, 6), c.istitle() or c.isupper() or c.islower())) > gain and g[0] > 0:
                     best, gain = c, g
             if best == now:
                 break
