@@ -29,7 +29,7 @@ NICKNAMES = {
     "alexander": "alex sandy lex", "abigail": "abby gail", "anthony": "tony", "benjamin": "ben benny", "beatrix": "bea trixie", "camilla": "cam millie", "catherine": "cathy kate",
     "christopher": "chris kit", "daniel": "dan danny", "deborah": "deb debbie", "dorothea": "dory dot dora thea dottie", "edward": "ed ted ned eddie", "elizabeth": "liz beth eliza betty lizzie bess",
     "frederick": "fred freddie", "gregory": "greg", "harvey": "harv", "james": "jim jimmy", "jennifer": "jen jenny", "josephine": "jo josie", "katherine": "kathryn kathy kate katie",
-    "lawrence": "larry laurie", "margaret": "peg meg maggie peggy marge", "michael": "mike mick", "nicholas": "nick nicky", "patricia": "pat trish patty tricia", "percival": "percy", "quentin": "quent",
+    "lawrence": "larry laurie", "margaret": "peg meg maggie peggy marge", "michael": "mike mick", "nicholas": "nick nicky", "penelope": "penny pen", "patricia": "pat trish patty tricia", "percival": "percy", "quentin": "quent",
     "raymond": "ray", "rebecca": "becky becca", "richard": "rick dick rich rickie", "robert": "bob rob bobby", "rosalind": "roz ros", "samantha": "sam sammie", "samuel": "sam", "stephen": "steve",
     "theodora": "theo dora", "theodore": "theo ted", "thomas": "tom tommy", "victoria": "vicky tori vic", "walter": "walt", "wallace": "wally", "william": "will bill billy liam", "winston": "win", "yvette": "evie",
 }
@@ -41,7 +41,7 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 #: Least score, as a multiple of the log of the number of records: about the weight of one term that is nearly unique and some common ones.
 LEAST = 1.5
 #: Pairs this far, as a share of the better score, from the nearest partner still count as nearest: a person can have several records in one table.
-NEAR = 0.45
+NEAR = 0.7
 NEAR_DESPITE = 0.1  # the same for pairs whose phones contradict: a namesake in the same house has a better partner
 #: Rows of labelled pairs that the calibration is fitted on, at most.
 LABELLED_ROWS = 10_000
@@ -53,7 +53,7 @@ _SHORT = {s: full for full, shorts in reversed(NICKNAMES.items()) for s in short
 def plain(text: str | None) -> str:
     t = unicodedata.normalize("NFKD", (text or "").casefold())
     t = "".join(PLAIN.get(c, c) for c in t if not unicodedata.combining(c))
-    return " ".join(re.findall(r"\w+", re.sub("['’ʼ]", "", t)))
+    return " ".join(re.findall(r"\w+", re.sub(r"\b[dl]['’ʼ](?=\w)|['’ʼ]", "", t)))
 
 
 def person(name: str | None) -> tuple[str, str]:
