@@ -10,9 +10,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_lists(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
+def map_lists(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str | StructType) -> DataFrame:
     """mapInArrow with every batch as a dict of Python lists; fn sees the batches of one partition in order."""
-    struct = _parse_datatype_string(schema)
+    struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     assert isinstance(struct, StructType)
     arrow = to_arrow_schema(struct)
 
@@ -20,7 +20,7 @@ def map_lists(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
         for out in fn(b.to_pydict() for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, struct)
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, rows: int = 20_000) -> DataFrame:

@@ -69,6 +69,24 @@ def validate_retry(df: DataFrame, rules: Rules, source: str, max_retries: int =
     return d.withColumn("retry_count", retries).drop("__first", *[f"__r_{f}" for f in repaired])
 
 
+def with_validator(df: DataFrame, validator: Callable[[dict, int], list[tuple[str, str, str]]], row_index: str) -> DataFrame:
+    """Errors of a Python validator (row, index) -> [(field, error, raw_value)], in Arrow batches; the slow path for rules no expression can say."""
+    from pyspark.sql.types import StructType
+
+    from ..functions.arrow import map_lists
+
+    errors = StructType.fromDDL("errors array<struct<field:string,error:string,raw_value:string>>")
+    schema = StructType([*df.schema.fields, *errors.fields])
+    names = df.columns
+
+    def run(batches):
+        for b in batches:
+            rows = [dict(zip(names, r)) for r in zip(*(b[n] for n in names))]
+            yield b | {"errors": [[dict(zip(("field", "error", "raw_value"), e)) for e in validator(r, r[row_index])] for r in rows]}
+
+    return map_lists(df, run, schema)
+
+
 def landed(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("errors") == 0).drop("errors")
 

@@ -232,3 +232,27 @@ def test_cdc(spark, tmp_path):
         q = cdc.land_stream(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["id"], "crm", str(tmp_path / "b"), str(tmp_path / "cp"), t)
         assert q.awaitTermination(60) and q.exception() is None
     assert spark.read.json(str(tmp_path / "b/crm")).count() == 3 and t.state().count() == 0
+
+
+def test_gate_process_and_service(spark, tmp_path):
+    from terrane.gate_cli import decide
+    from terrane.operators.service import LineageService
+
+    row = gold(spark).first().asDict()
+    assert decide(spark, json.dumps({"table": "customer", "rows": [row]}))[0] == 0
+    assert decide(spark, json.dumps({"table": "customer", "rows": [row | {"email_masked": "a.b@c.de"}]}))[0] == 2
+    assert decide(spark, json.dumps({"table": "moon", "rows": [row]}))[0] == 2
+    assert decide(spark, "no json")[0] == 0 and decide(spark, json.dumps({"table": "customer"}))[0] == 0
+    (tmp_path / "pos.csv").write_text("customer_id,order_date\n1,2024\n2,2024\n")
+    ingest.ingest_csv(spark, str(tmp_path / "pos.csv"), "pos", ingest.POS, str(tmp_path / "bronze"), "r1", NOW)
+    s = LineageService(spark, {"bronze": "file://" + str(tmp_path / "bronze")})
+    assert len(s.preview_table("bronze", "pos")["rows"]) == 2 and "error" in s.preview_table("moon", "pos") and "error" in s.preview_table("bronze", "x")
+    assert [r["customer_id"] for r in s.find_record("bronze", "customer_id", "2", "pos")["rows"]] == ["2"]
+    audit = spark.createDataFrame([("1", "phone", "pos", "r1", "rule", "v")], "customer_id string, field string, source_system string, run_id string, rule_name string, value string")
+    assert [x["step"] for x in s.trace_lineage(audit, "bronze", "pos", "phone", "1")["chain"]] == ["silver", "bronze", "bronze"]
+
+
+def test_python_validator(spark):
+    d = spark.createDataFrame([(0, "a"), (1, None)], "i bigint, v string")
+    out = ingest.with_validator(d, lambda row, i: [] if row["v"] else [("v", "missing", "None")], "i")
+    assert [(r.i, len(r.errors)) for r in out.orderBy("i").collect()] == [(0, 0), (1, 1)] and ingest.landed(out).count() == 1
