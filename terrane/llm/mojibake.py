@@ -57,16 +57,15 @@ def _read(c: str, written: str, read: str) -> str | None:
 @lru_cache(1)
 def _automaton() -> ahocorasick.Automaton:
     """Folded garbled sequences of two and more characters, each with the letters it can come from."""
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[tuple[str, str]]] = {}
     letters = {chr(p) for low, high in RANGES for p in range(low, high + 1)}
     letters |= {c for read in READ_AS for c in bytes(range(128, 256)).decode(read, "ignore")}  # for text garbled twice
     for c in sorted(letters):
         for read in READ_AS:
-            g = _read(c, "utf-8", read)
-            if g and len(g) > 1:
-                own = found.setdefault(fold(g), [])
-                if c not in own:
-                    own.append(c)
+            g = _read(c, "utf-8", read) or ""
+            for seen in {g, "".join(x for x in g if not "\x80" <= x <= "\x9f")}:  # controls may have been dropped on the way
+                if len(seen) > 1 and (c, seen) not in (own := found.setdefault(fold(seen), [])):
+                    own.append((c, seen))
     a = ahocorasick.Automaton()
     for g, own in found.items():
         a.add_word(g, (len(g), own))
@@ -95,11 +94,11 @@ def _tables() -> list[dict[int, str]]:
 
 @lru_cache(1)
 def _dropped() -> dict[str, list[str]]:
-    """Lead characters that stay alone when the second byte had no character and was dropped."""
+    """Lead characters that stay alone when the second byte was a control, or had no character, and was dropped."""
     out: dict[str, list[str]] = {}
     for p in range(0x80, 0x180):
         lead, second = chr(p).encode()
-        if second in (0x81, 0x8D, 0x8F, 0x90, 0x9D) and chr(p).isalpha():
+        if second < 0xA0 and chr(p).isalpha():
             out.setdefault(chr(lead), []).append(chr(p))
     return out
 
@@ -126,7 +125,7 @@ class Repairer:
     def _spans(self, v: str) -> str:
         """v with all garbled spans replaced, the longest match first at every place."""
         f = fold(v)
-        best: dict[int, tuple[int, list[str]]] = {}
+        best: dict[int, tuple[int, list[tuple[str, str]]]] = {}
         for end, (n, own) in _automaton().iter(f):
             if n > best.get(end - n + 1, (0,))[0]:
                 best[end - n + 1] = (n, own)
@@ -137,7 +136,7 @@ class Repairer:
             if i in best:
                 n, own = best[i]
                 before = out[-1][-1:] if out else " "
-                c = max(own, key=lambda c: self.counts.get(fold(before + c), 0))
+                c = max(own, key=lambda x: (self.counts.get(fold(before + x[0]), 0), x[1] == v[i : i + n]))[0]
                 if caps:
                     c = c.upper() if len(c.upper()) == 1 else c
                 elif v.islower() or before.isalpha() and before.islower():
