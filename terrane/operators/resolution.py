@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import stage
 from ..functions.values import email_norm, phone_digits, strip
 
-# Short given names, street endings.
-SHORT = {"bob": "robert", "jen": "jennifer", "mike": "michael", "chris": "christopher", "kathryn": "katherine"}
+# Short given names, street endings, letters without a decomposition.
+SHORT = {
+    "bob": "robert", "rob": "robert", "jen": "jennifer", "mike": "michael", "chris": "christopher", "kathryn": "katherine", "kate": "katherine", "bill": "william", "will": "william", "dick": "richard", "rick": "richard",
+    "becky": "rebecca", "vicky": "victoria", "tori": "victoria", "fred": "frederick", "maggie": "margaret", "peg": "margaret", "trish": "patricia", "pat": "patricia", "tom": "thomas", "tony": "anthony", "ted": "edward",
+    "ed": "edward", "liz": "elizabeth", "beth": "elizabeth", "nick": "nicholas", "ray": "raymond", "sam": "samantha", "ben": "benjamin", "deb": "deborah", "larry": "lawrence", "jo": "josephine", "josie": "josephine", "abby": "abigail",
+}
+_PLAIN = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xE0, 0x180)) if unicodedata.decomposition(c) and c.islower()} | {"ø": "o", "ł": "l", "đ": "d", "ı": "i"}
 STREET = {"lane": "ln", "street": "st", "drive": "dr", "avenue": "ave", "road": "rd", "court": "ct", "place": "pl", "boulevard": "blvd"}
 REVIEW, SURE = 0.5, 0.85
 
@@ -24,7 +30,7 @@ def _get(m: Column, key: str) -> Column:
 
 def attributes(m: Column, p: str) -> dict[str, Column]:
     """The comparable attributes of a record given as a map of texts."""
-    name = F.lower(F.regexp_replace(_get(m, "name"), r"[.,']", ""))
+    name = F.translate(F.lower(F.regexp_replace(_get(m, "name"), r"[.,'’]", "")), "".join(_PLAIN), "".join(_PLAIN.values()))
     first = F.substring_index(name, " ", 1)
     short = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
     street = F.lower(F.regexp_replace(F.substring_index(_get(m, "address"), ",", 1), r"[.#]", ""))
@@ -51,8 +57,10 @@ def ladder(pairs: DataFrame) -> DataFrame:
     both = lambda n: (a(n) != "") & (b(n) != "")
     same = lambda n: both(n) & (a(n) == b(n))
     differ = lambda n: both(n) & (a(n) != b(n))
-    first_ok = (a("first") == b("first")) | (F.length(a("first")) == 1) & b("first").startswith(a("first")) | (F.length(b("first")) == 1) & a("first").startswith(b("first"))
-    names = first_ok & ((a("last") == b("last")) | ~both("last"))
+    initial = lambda x, y: (F.length(x) == 1) & y.startswith(x)
+    slip = lambda n: (F.least(F.length(a(n)), F.length(b(n))) >= 4) & (F.levenshtein(a(n), b(n)) <= 2)
+    first_ok = (a("first") == b("first")) | initial(a("first"), b("first")) | initial(b("first"), a("first")) | slip("first")
+    names = first_ok & ((a("last") == b("last")) | ~both("last") | slip("last"))
     address = same("street") & ~differ("state") & ~differ("unit")
     second = same("phone") | address | names
     rungs = [
