@@ -72,7 +72,7 @@ def _abbreviation_minutes(abbr: Column, zone: Column) -> Column:
     known = {f"|{a}": 0 for a in ("Z", "UTC", "GMT")}
     known |= {f"{z}|{a}": m for z, own in BY_ZONE.items() for a, m in own.items()}
     known |= {f"America|{a}": m for a, m in US.items()} | {f"Europe|{a}": m for a, m in EUROPE.items()}
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    table = F.expr("map(" + ", ".join(f"'{k}', {m}" for k, m in known.items()) + ")")
     region = F.when(zone.rlike(r"\A(America/|US/|Canada/|Pacific/Honolulu)"), "America").when(zone.startswith("Europe/"), "Europe")
     look = lambda k: F.try_element_at(table, F.concat(k, F.lit("|"), abbr))
     return F.coalesce(look(F.lit("")), look(zone), look(region))
@@ -88,13 +88,14 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str | None = None, ord
     default zone; nothing is guessed for ambiguous or skipped wall times. Nulls and blank texts give `empty`. Every
     input row comes out once, other columns untouched; existing columns of the output names are replaced.
     """
-    zones = sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
+    jvm = df.sparkSession._jvm
+    zones = ", ".join(f"'{z}'" for z in jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
+    known = lambda name: F.expr(f"CASE WHEN `{name}` IN ({zones}) THEN `{name}` END")
     v = F.regexp_replace(F.col(f"`{value}`"), r"\A +| +\z", "")
-    known = lambda c: F.when(c.isin(zones), c)
-    own = known(F.col(f"`{zone}`")) if zone else F.lit(None).cast("string")
+    own = known(zone) if zone else F.lit(None).cast("string")
     way = F.col(f"`{order}`") if order else F.lit(None).cast("string")
     cols = df.columns
-    names = {k: f"__{prefix}_{k}" for k in ("v", "own", "way", "form", "p", "num", "wall", "off", "zone", "a", "b", "y", "mo", "d", "h", "mi", "s", "fr", "fa", "fb")}
+    names = {k: f"__{prefix}_{k}" for k in ("v", "own", "way", "form", "p", "num", "wall", "off", "zone", "a", "b", "y", "mo", "d", "h", "mi", "s", "fr", "fa", "fb", "named")}
     c = lambda k: F.col(names[k])
     d = df.select(*[F.col(f"`{x}`") for x in cols], v.alias(names["v"]), own.alias(names["own"]), way.alias(names["way"]))
     v = c("v")
@@ -133,9 +134,10 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str | None = None, ord
     minutes = F.when(z.rlike(r"\A[+-]") & (F.substring(digits, 3, 2).try_cast("int") >= 60), None).when(
         z.rlike(r"\A[+-]"), sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)))
     )
-    named = F.nullif(part(9), F.lit(""))
+    d = d.withColumn(names["named"], F.nullif(part(9), F.lit("")))
+    named = c("named")
     off = F.when(z.rlike(r"\A[+-]"), minutes).when(named.isNull() | (z == "Z"), _abbreviation_minutes(z, c("own")))
-    d = d.withColumn(names["off"], F.when(z != "", off)).withColumn(names["zone"], F.when(named.isNotNull(), known(named)).when(z == "", c("own")))
+    d = d.withColumn(names["off"], F.when(z != "", off)).withColumn(names["zone"], F.when(named.isNotNull(), known(names["named"])).when(z == "", c("own")))
 
     # A wall time has the offset of the day before or of the day after, unless the zone skipped it.
     a, b = (c("wall") - _offset(c("wall") + F.lit(k * _DAY_US), c("zone")) for k in (-1, 1))
