@@ -74,7 +74,7 @@ def half_even(num: Column, den: Column, places: int = 4) -> Column:
 PII = {
     "ssn": r"(?U)\b\d{3}-\d{2}-\d{4}\b",
     "email": r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    "phone": r"(?U)\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b|\(\d{3}\)\s*\d{3}-\d{4}",
+    "phone": r"(?U)\b(?:\+1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
 }
 
 

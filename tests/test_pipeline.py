@@ -36,6 +36,13 @@ def test_values(spark):
     assert (half.a, half.b, half.c) == (0.7812, 0.0, 0.82)
 
 
+def test_personal_data(spark):
+    texts = {"123-45-6789": "ssn", "(303) 555-0147": "phone", "303-555-0147": "phone", "+1 303.555.0147": "phone", "555-0192": "", "3035550147": "", "(303)555-0147": "", "a@b.c|d": "email", "km**@gmail.com": "", "": "", "x" * 50_000: ""}
+    d = spark.createDataFrame([(k, k) for k in texts], "t string, _u string")
+    got = {r.t: r.f for r in d.select("t", F.array_join(quality.pii_fields(d), ",").alias("f")).collect()}
+    assert got == {k: f"t:{v}" if v else "" for k, v in texts.items()}
+
+
 VECTORS = [("1001", "d", "1001", 0, 0), (" 1001 ", "d", "1001", 0, 0), ("POS-7", "d", "7", 1, 0), ("-5", "d", "5", 1, 0), ("1.0", "d", "10", 1, 0), ("0", "d", "0", 3, 1), ("", "d", "", 3, 1), ("abc", "", "abc", 3, 2), ("POS-7", "", "7", 3, 1), ("²", "d", "²", 3, 1), ("--5", "d", "5", 1, 0), (None, None, None, 3, 2)]
 
 
