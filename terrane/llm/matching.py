@@ -42,7 +42,7 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 LEAST = 1.5
 #: Pairs this far, as a share of the better score, from the nearest partner still count as nearest: a person can have several records in one table.
 NEAR = 0.7
-NEAR_DESPITE = 0.1  # the same for pairs whose phones contradict: a namesake in the same house has a better partner
+NEAR_DESPITE = 0.1  # the same for pairs whose phones contradict and whose birth dates aren't known to agree: a namesake in the same house has a better partner
 #: Rows of labelled pairs that the calibration is fitted on, at most.
 LABELLED_ROWS = 10_000
 
@@ -283,11 +283,32 @@ def calibrate(golden: DataFrame, weights: DataFrame, n: int, ridge: float = 0.5)
     return w
 
 
+#: What identifies a person among those who have one phone.
+KEY = ("first", "last", "house", "street", "phone")
+
+
+def with_births(told: DataFrame, people: DataFrame, doubtful: Column) -> DataFrame:
+    """Add born_same to pairs: both birth dates agree, where a missing one is lent by the records of the same KEY if they give exactly one.
+
+    Looked up for doubtful pairs only; the other rows, and records with a part of the key missing, join on their own
+    id, which is nobody's key, so that no value gathers them.
+    """
+    whole = lambda prefix: F.array_min(F.array(*[F.length(prefix + n) for n in KEY])) > 0
+    key = lambda prefix: F.to_json(F.array(*[F.col(prefix + n) for n in KEY]))
+    known = people.filter(whole("") & (F.length("dob") > 0)).groupBy(key("").alias("key")).agg(F.min("dob").alias("born"), F.max("dob").alias("last_born")).filter("born = last_born")
+    cols = told.columns
+    for side, p in (("a", "x_"), ("b", "y_")):
+        lent = known.select(F.col("key").alias(f"{side}_key"), F.col("born").alias(f"{side}_lent"))
+        told = told.withColumn(f"{side}_key", F.when(doubtful & whole(p) & (F.length(p + "dob") == 0), key(p)).otherwise(F.col(side))).join(lent, f"{side}_key", "left")
+    born = lambda side, p: F.when(F.length(p + "dob") > 0, F.col(p + "dob")).otherwise(F.col(f"{side}_lent"))
+    return told.select(*cols, F.coalesce(born("a", "x_") == born("b", "y_"), F.lit(False)).alias("born_same"))
+
+
 def match_people(crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame, golden: DataFrame, least_confidence: float = 0.5) -> DataFrame:
     """(record_a_id, record_b_id, confidence) of pairs of records of one person, the smaller id first.
 
     A pair must be nearest in both directions: no other record of the partner's table scores better by more than the
-    share NEAR. Confidence is logistic in the score, the contradictions and the score gap to a better partner. Key numbers are no evidence. An exact check follows: given and family names must not contradict each
+    share NEAR, or NEAR_DESPITE if the phones differ and nothing tells that the birth dates agree. Confidence is logistic in the score, the contradictions and the score gap to a better partner. Key numbers are no evidence. An exact check follows: given and family names must not contradict each
     other, and neither may the dates of birth unless phone and street both agree. Null keys name no record; missing
     attributes neither agree nor contradict; records with the same attributes all match; empty tables give no pairs.
     """
@@ -306,7 +327,8 @@ def match_people(crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame, golde
     w = [float(v) for v in calibrate(golden, weights, n)]
     logit = F.lit(w[0]) + F.lit(w[1]) * (F.col("score") / F.lit(math.log(max(n, 2))) + F.col("slips")) + F.lit(w[2]) * against()
     confidence = 1 / (1 + F.exp(-(logit - F.col("gap"))))
-    told = told.filter((F.col("phone_other") == 0) | (F.col("gap") <= NEAR_DESPITE))
+    doubtful = (F.col("phone_other") == 1) & (F.col("gap") > NEAR_DESPITE)
+    told = with_births(told, people, doubtful & (F.col("dob_same") == 0)).filter(~doubtful | F.col("born_same"))
     evidence = F.col("phone_same") + F.col("phone_slip") + F.col("dob_same") + F.col("street_same")
     sound = (F.col("first_other") == 0) & (F.col("last_other") == 0) & (evidence > 0) & ((F.col("dob_other") == 0) | (F.col("phone_same") + F.col("street_same") == 2))
     found = told.withColumn("confidence", F.round(confidence, 6)).filter(sound & (F.col("confidence") >= least_confidence))

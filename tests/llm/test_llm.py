@@ -157,6 +157,21 @@ def test_matching(spark):
     assert matching.match_people(crm.limit(0), a.limit(0), c.limit(0), golden.limit(0)).count() == 0
 
 
+def test_old_phone_of_a_person_with_two_records(spark):
+    """Two records in one table, one with the old phone: both match if the birth dates agree, directly or by another record of that phone; a namesake's doesn't."""
+    golden = spark.read.parquet(f"{SF}/golden_pair.parquet")
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03d}")
+    fill = [(100 + i, str(900 + i), f"F{word(i)}", f"L{word(i)}name", f"3125551{i:03d}", f"{i + 10} Oak St", "Wex", "PA", "11111", f"19{50 + i % 40}-01-01") for i in range(300)]
+    home = "8202 Mallow Spring St"
+    crm = [(1, "1", "Richard", "Zelliley", "709-555-8702", home, "Elderdale", "OH", "12345", "1961-02-19"), *fill]
+    a = [(1, "Richard Zelliley", "1961-02-19", f"{home}, Elderdale OH", "709-555-8702"), (2, "Richard Zelliley", "1961-02-19", f"{home}, Elderdale OH", "509-555-6832"), (3, "Richard Zelliley", "1990-07-01", f"{home}, Elderdale OH", "416-555-1111")]
+    c = [(f"u{i}", "Richard", "Zelliley", None, tel, home, "Elderdale", "OH") for i, tel in enumerate(("709-555-8702", "509-555-6832", "416-555-1111", "212-555-2222"))]
+    got = {(r.record_a_id, r.record_b_id) for r in matching.match_people(*tables(spark, crm, a, c), golden).collect()}
+    mine = ("crm:1", "merger_a:1", "merger_a:2")
+    assert {p for p in got if p[0] == "crm:1"} == {("crm:1", x) for x in ("merger_a:1", "merger_a:2", "merger_c:u0", "merger_c:u1")}
+    assert {p for p in got if p[0] in mine and p[1] == "merger_c:u2"} == set() and ("merger_a:3", "merger_c:u2") in got
+
+
 def test_retrieval_is_exact(spark):
     """Every pair whose shared terms weigh enough is retrieved, and no other."""
     import math
