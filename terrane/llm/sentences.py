@@ -9,6 +9,7 @@ backwards from the period, or what follows says otherwise.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -167,6 +168,8 @@ def _block_ends(text: str, start: int, mark: int, end: int) -> Iterator[int]:
     thai = _THAI.search(text, mark, end) is not None
     gaps = [m.span() for m in _GAP.finditer(text, mark, end)] if thai else []
     g = 0
+    closing: dict[str, int] = {}  # where each closing sign was found last, so that long lines are searched once
+    greek = [m.start() for m in _GREEK.finditer(text, mark, end)]
 
     def blank_to(j: int) -> int:
         while j < end and text[j].isspace():
@@ -197,12 +200,12 @@ def _block_ends(text: str, start: int, mark: int, end: int) -> Iterator[int]:
             k = blank_to(i)
             if k >= end:
                 return
-            follows = _next(text, k, end)
             if text[opened] in BRACKETS:
-                over = first and follows != "lower"
+                over = first and _next(text, k, end) != "lower"
             elif k == i:  # no blank: only scripts without blanks, and only after a colon
                 over = colon and _CJK.match(text[k]) is not None
             else:
+                follows = _next(text, k, end)
                 over = follows in ("upper", "name", "digit") or (follows == "caseless" and colon) or (follows == "caseless" and text[k] in OPEN and colon)
             if over and text[k] not in ",;:.，、":
                 yield i
@@ -210,14 +213,19 @@ def _block_ends(text: str, start: int, mark: int, end: int) -> Iterator[int]:
             continue
         if c in OPEN and not (c == '"' and stack and stack[-1][0] == '"'):
             close = OPEN[c]
-            if text.find(close, i, end) >= 0:
-                lead = text[begin : i - 1].rstrip()
-                stack.append((close, i - 1, not text[begin : i - 1].strip(), lead.endswith((":", "："))))
+            if closing.get(close, -1) < i:
+                found = text.find(close, i, end)
+                closing[close] = found if found >= 0 else end
+            if closing[close] < end:
+                j = i - 1
+                while j > begin and text[j - 1].isspace():
+                    j -= 1
+                stack.append((close, i - 1, j <= begin, j > begin and text[j - 1] in ":："))
             continue
         if c in CLOSE:
             continue
         if c in ";;":
-            if not stack and _GREEK.search(text, begin, i) and i < end and text[i].isspace() and _next(text, blank_to(i), end) != "lower":
+            if not stack and bisect_left(greek, begin) < bisect_left(greek, i) and i < end and text[i].isspace() and _next(text, blank_to(i), end) != "lower":
                 yield i
                 begin = i
             continue
@@ -266,7 +274,7 @@ def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     def one(i, t):
         at = 0
         for n, e in enumerate(sentence_ends(t) if t else ()):
-            while t[at].isspace() or t[at] == "﻿":
+            while at < e - 1 and (t[at].isspace() or t[at] == "﻿"):
                 at += 1
             yield i, n, at, e, t[at:e]
             at = e

@@ -342,6 +342,28 @@ def test_sentence_rows(spark):
     assert [tuple(r) for r in sentences.sentence_places(d).collect()] == [(1, 3), (1, 6)]
 
 
+def test_sentences_of_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id for r in entry.queries()["p10_sentences"](spark, SF).select("doc_id").distinct().collect()}
+    assert got == {r.doc_id for r in docs.collect() if r.text and r.text.replace("\ufeff", "").strip()}
+    prose = {r.doc_id for r in docs.filter("file_kind = 'prose'").collect()}
+    assert got - prose and {r.doc_id for r in entry.queries()["p10_found"](spark, SF).collect()} <= prose
+
+
+def test_a_mark_alone_after_a_sentence(spark):
+    d = spark.createDataFrame([(1, "Ab. \ufeff")], "doc_id bigint, text string")
+    assert [tuple(r)[2:4] for r in sentences.sentences(d).collect()] == [(0, 3), (4, 5)]
+
+
+@pytest.mark.parametrize("part", ['a(b[1],{c:"d"});', '"a.""b."', "a=1;"])
+def test_long_lines_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    assert sentences.sentence_ends(part * 40_000) == [len(part) * 40_000]
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("name", ["p4_found", "p4_golden", "p9_found"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
