@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.change_feed import BucketedTable
 from ..operators.timestamps import order_instants
 from ..session import table, work_dir
-from ..sources.csv_grammar import error_rows, parse_records, valid_rows
+from ..sources.csv_grammar import error_rows, parse_joined, parse_records, valid_rows
 
 
 def _current(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,6 +44,11 @@ def p3_valid_crm(spark: SparkSession, sf: str) -> DataFrame:
     return valid_rows(parse_records(table(spark, sf, "raw_record")), "crm")
 
 
+def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of whole texts, the lines of a file joined, with recovery at validated record starts."""
+    return parse_joined(table(spark, sf, "raw_record"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     d = order_instants(table(spark, sf, "pos").select("pos_row", "order_date", "store_id"), table(spark, sf, "store_zone"))
     return d.filter("ts_status = 'ok'").select("pos_row", F.floor(F.col("ts_us") / 1000).cast("bigint").alias("order_ms"))
@@ -54,7 +59,7 @@ def p6_not_determinable(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter("ts_status <> 'ok'").select("pos_row", "order_date", F.col("ts_status").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_current_rows, p3_found, p3_errors, p3_valid_pos, p3_valid_crm, p6_found, p6_not_determinable)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_current_rows, p3_found, p3_errors, p3_valid_pos, p3_valid_crm, p3_texts, p6_found, p6_not_determinable)}
 
 # One record by RFC 4180 as to double quotes: bare fields hold none, quoted ones are closed right before a comma or the end.
 _FIELD = """("([^"]|"")*"|[^",]*)"""

@@ -14,6 +14,7 @@ form of a key.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -107,28 +108,62 @@ def parse_record(text: str) -> Parsed:
 
 
 def parse_text(text: str, columns: int, key: str = r"\s*\d+\s*") -> Iterator[Parsed]:
-    """All records of a text. After a syntax error parsing resumes at the next validated record start."""
+    """All records of a text. After a syntax error parsing resumes at the next validated record start.
+
+    A record over several lines with another number of columns may have swallowed others between two stray quotes, so
+    parsing resumes at the first validated start inside of it, if there is one.
+    """
     g, is_key = Grammar(text, False), re.compile(rf'"?(?:{key})"?(?:,|$)')
     starts = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
+
+    def begins(at: int) -> bool:
+        probe = Grammar(text, False)
+        probe.at = at
+        return is_key.match(text, at) is not None and not (p := probe.record()).error and len(p.fields) == columns
+
     while g.at < len(text):
         r = g.record()
-        if r.error:
-            for s in (x for x in starts if x > r.start):
-                probe = Grammar(text, False)
-                probe.at = s
-                if is_key.match(text, s) and not (p := probe.record()).error and len(p.fields) == columns:
-                    g.at = s
-                    break
-            else:
-                g.at = len(text)
-            r.raw = text[r.start : g.at].rstrip("\r\n")
-            yield r
-            continue
+        if r.error or len(r.fields) != columns:
+            last = len(text) if r.error else r.end
+            anchor = next((x for x in starts[bisect_right(starts, r.start) : bisect_right(starts, last)] if begins(x)), None)
+            if anchor is not None and not r.error:
+                r.error_at, r.error = anchor, "quoted field runs over a record start"
+            if r.error:
+                g.at = len(text) if anchor is None else anchor
+                r.raw = text[r.start : g.at].rstrip("\r\n")
+                yield r
+                continue
         r.raw = text[r.start : g.at]
         g.line_end()
         yield r
 
 
+#: Rows of one source_file that are parsed as one text, at most.
+TEXT_ROWS = 2_000
+
+
+def parse_joined(df: DataFrame) -> DataFrame:
+    """(source_system, source_file, raw_id, fields, syntax_at, syntax_error, raw_text) of the records that stand in the lines of each source_file, joined in row_index order.
+
+    raw_id is the line in which a record starts and syntax_at counts from the record's start. Lines are joined in
+    blocks of TEXT_ROWS row numbers, across which no record runs. Sources without known columns are left out.
+    """
+    d = df.filter(F.col("source_system").isin(*COLUMNS))
+    line = F.struct("row_index", "raw_id", F.coalesce("raw_line", F.lit("")).alias("raw_line"))
+    blocks = d.groupBy("source_system", "source_file", F.floor(F.coalesce("row_index", "raw_id") / TEXT_ROWS).alias("block")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def one(source, name, lines):
+        ends, n = [], 0
+        for x in lines:
+            n += len(x["raw_line"]) + 1
+            ends.append(n)
+        for r in parse_text("".join(x["raw_line"] + "\n" for x in lines), len(COLUMNS[source])):
+            at = r.error_at - r.start if r.error else None
+            yield source, name, lines[bisect_right(ends, r.start)]["raw_id"], r.fields, at, r.error or None, r.raw
+
+    return map_rows(blocks.select("source_system", "source_file", "lines"), one, "source_system string, source_file string, raw_id bigint, fields array<string>, syntax_at int, syntax_error string, raw_text string")
+
+
 def _checks(name: str, value: Column) -> Column:
     """True where the value breaks the rule of its column; spaces at both ends are ignored."""
     v, rule = F.trim(value), RULES[name]

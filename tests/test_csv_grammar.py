@@ -72,3 +72,27 @@ def test_recovery_at_record_starts(spark, tmp_path):
     (tmp_path / "f.csv").write_text(text)
     rows = read_csv_texts(spark, str(tmp_path / "f.csv"), "pos").orderBy("row_index").collect()
     assert [r.syntax_error is not None for r in rows] == [False, True, False, False] and rows[1].raw_line.startswith("1002")
+
+
+BARE = GOOD.replace('"1 Elm St, Town"', "1 Elm St")
+SWALLOWED = [GOOD, '1002,"stray,b,c,d,e,f,1', BARE.replace("1001", "1003"), '1004,stray",b,c', "", GOOD.replace("1001", "1005")]
+
+
+def test_rows_between_stray_quotes_are_not_swallowed():
+    got = [(bool(r.error), r.fields[0], len(r.fields)) for r in parse_text("\n".join(SWALLOWED), 8)]
+    assert got[0] == (False, "1001", 8) and (False, "1003", 8) in got and got[-1] == (False, "1005", 8)
+    wide = '7,"a\nb",c\n' + GOOD
+    assert [len(r.fields) for r in parse_text(wide, 8)] == [3, 8]
+
+
+def test_joined_lines(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from terrane.sources import csv_grammar
+
+    df = spark.createDataFrame([(10 + i, "pos", "f.csv", i, t) for i, t in reversed(list(enumerate(SWALLOWED)))] + [(99, "moon", "m", 0, "x"), (98, "crm", None, None, None)], "raw_id bigint, source_system string, source_file string, row_index bigint, raw_line string")
+    want = {(10, None, 8), (12, None, 8), (15, None, 8)}
+    for rows in (2_000, 3):
+        monkeypatch.setattr(csv_grammar, "TEXT_ROWS", rows)
+        got = {(r.raw_id, r.syntax_error, len(r.fields)) for r in csv_grammar.parse_joined(df).collect()}
+        assert want <= got and (98, None, 1) in got and not any(i == 99 for i, _, _ in got)
+    assert "p3_texts" in entry.queries()
