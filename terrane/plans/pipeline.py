@@ -77,6 +77,16 @@ def bronze_lineage(spark, sf):
     return lineage.attach(d, lineage.make_lineage("tpch", "nation.parquet", d.count(), d.columns, RUN, NOW))
 
 
+@query(
+    """SELECT * EXCLUDE (run_id, ingested_at), 'pos' AS source_system, 'run-fixed' AS run_id, '2026-01-01T00:00:00+00:00' AS ingested_at, (SELECT count(*) FROM pos) AS row_count,
+ substr(sha256('[["address", "string"], ["customer_id", "string"], ["email", "string"], ["first_name", "string"], ["ingested_at", "string"], ["last_name", "string"], ["order_date", "string"], ["phone", "string"], ["pos_row", "string"], ["run_id", "string"], ["store_id", "string"], ["total_amount", "string"]]'), 1, 16) AS schema_fingerprint, 'pos.parquet' AS source_file FROM pos"""
+)
+def bronze_lineage_pos(spark, sf):
+    """The stamp on landed rows of a table that grows; it replaces the run and time that they came with."""
+    d = table(spark, sf, "pos")
+    return lineage.attach(d, lineage.make_lineage("pos", "pos.parquet", d.count(), d.columns, RUN, NOW))
+
+
 @query("SELECT split_part(source_file, '_', 1) AS prefix, count(*) AS n FROM raw_record GROUP BY 1")
 def bronze_counts_by_prefix(spark, sf):
     return counts_by_prefix(table(spark, sf, "raw_record"), "source_file")
