@@ -356,6 +356,21 @@ def scorecard_regression(spark, sf):
     return scorecard.overall(_scored(spark, sf)).select((F.col("false_confidence_rate") - F.lit(0.0) <= scorecard.BUDGET).alias("passed"))
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.match_pairs(scorecard.labelled(table(spark, sf, "golden_pair")))
+
+
+@query()
+def scorecard_default(spark, sf):
+    """The scorecard of the default matcher."""
+    return scorecard.overall(_judged(spark, sf))
+
+
+@query()
+def scorecard_default_by_stratum(spark, sf):
+    return scorecard.by_stratum(_judged(spark, sf))
+
+
 @query("SELECT stratum, count(*) AS n FROM golden_pair GROUP BY stratum")
 def scorecard_stratum_counts(spark, sf):
     return table(spark, sf, "golden_pair").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timezone
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -263,3 +264,14 @@ def test_python_validator(spark):
     d = spark.createDataFrame([(0, "a"), (1, None)], "i bigint, v string")
     out = ingest.with_validator(d, lambda row, i: [] if row["v"] else [("v", "missing", "None")], "i")
     assert [(r.i, len(r.errors)) for r in out.orderBy("i").collect()] == [(0, 0), (1, 1)] and ingest.landed(out).count() == 1
+
+
+def test_scorecard_of_the_default_matcher(spark, tmp_path):
+    """A match that is found, a non-match, a match that nothing tells, and an unclear pair."""
+    one, other = {"phone": "3035550147", "name": "Ann Bell"}, {"phone": "4155550199", "name": "Zed Quill"}
+    rows = [("1", one, one, "match", "s"), ("2", one, other, "non_match", "s"), ("3", other, one, "match", "t"), ("4", one, one, "unclear", "t")]
+    spark.createDataFrame(rows, "pair_id string, record_a map<string,string>, record_b map<string,string>, label string, stratum string").write.parquet(str(tmp_path / "golden_pair.parquet"))
+    m = entry.queries()["scorecard_default"](spark, str(tmp_path)).first()
+    assert (m.n, m.tp, m.fp, m.fn, m.tn, m.precision, m.recall) == (3, 1, 0, 1, 1, 1.0, 0.5)
+    got = {r.stratum: (r.n, r.precision, r.recall) for r in entry.queries()["scorecard_default_by_stratum"](spark, str(tmp_path)).collect()}
+    assert got == {"s": (2, 1.0, 1.0), "t": (1, 0.0, 0.0)}
