@@ -7,17 +7,18 @@ are evaluated by one aggregation over one scan.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 from statistics import mean, stdev
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import PII, falsy
-from ..sources.storage import write_new
+from ..sources.storage import file_system, newest_json, write_new
 from .lineage import LINEAGE
 
 BREAK, ALERT = "BREAK", "ALERT"
@@ -189,15 +190,32 @@ def check_gold_write(table: str, df: DataFrame, audit: str | None = None, folder
 
 
 def publish(table: str, df: DataFrame, target: str, audit: str, folder: Path = CONTRACTS) -> bool:
-    """Write, audit, publish: the rows are staged, checked as staged, and moved into place only if nothing breaks."""
-    spark, staged = df.sparkSession, f"{target}__staged"
-    df.write.mode("overwrite").parquet(staged)
+    """Write, audit, publish: the rows are staged, checked as staged, and become the newest version only if nothing breaks.
+
+    Every version has a folder of its own, and a numbered pointer, made whole or not at all, names the one that counts:
+    readers never see a gap, a crash leaves the last version, and of two writers of one version the second fails. The
+    version before the newest stays for readers that have it open; older ones are deleted.
+    """
+    spark, staged = df.sparkSession, f"{target}/data/{uuid.uuid4().hex}"
+    df.write.parquet(staged)
     allowed, _ = check_gold_write(table, spark.read.parquet(staged), audit, folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if allowed:
-        fs.delete(path(target), True)
-        fs.rename(path(staged), path(target))
-    else:
-        fs.delete(path(staged), True)
-    return allowed
+    if not allowed:
+        _delete(spark, staged)
+        return False
+    number, old = newest_json(spark, f"{target}/versions")
+    kept = [x for x in (old or {}).get("kept", []) if x]
+    write_new(spark, f"{target}/versions/{number + 1:012d}.json", json.dumps({"data": staged, "kept": [staged, *kept[:1]]}))
+    for x in kept[1:]:
+        _delete(spark, x)
+    return True
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p, _ = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def published(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest published version; None before the first."""
+    _, version = newest_json(spark, f"{target}/versions")
+    return spark.read.parquet(version["data"]) if version else None

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.storage import file_system
+
 
 def build_session(app: str = "terrane", cpus: str | int = "*", memory: str = "8g") -> SparkSession:
     """A local session with the settings the library expects; on a cluster the caller brings its own."""
@@ -28,10 +30,14 @@ def build_session(app: str = "terrane", cpus: str | int = "*", memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, local mode) a temporary folder is made and set, and kept for the session.
+    Where it is unset, a session in one process (tests) gets a temporary folder, kept for the session. On a cluster
+    that is an error: every machine would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="terrane-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,8 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for one run of one operator inside the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder for one run of one operator inside the shared folder; it goes when the session's process ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    fs, p, _ = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 class Scratch:
@@ -58,8 +68,15 @@ class Scratch:
 
     def drop(self, n: int) -> None:
         """Delete the n-th table, which nothing may read any more."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n:04d}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p, _ = file_system(self.spark, f"{self.path}/{n:04d}")
+        fs.delete(p, True)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write the last table of a run and delete all others."""
+        out = self.put(df)
+        for n in range(1, self.n):
+            self.drop(n)
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -108,8 +108,14 @@ def test_gate(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         quality.load_contract("moon")
     target = str(tmp_path / "gold")
-    assert quality.publish("customer", gold(spark), target, audit) and spark.read.parquet(target).count() == 1
-    assert not quality.publish("customer", gold(spark, email_masked="a.b@c.de"), target, audit) and spark.read.parquet(target).first().email_masked == "km**@gmail.com"
+    assert quality.published(spark, target) is None
+    assert quality.publish("customer", gold(spark), target, audit) and quality.published(spark, target).count() == 1
+    assert not quality.publish("customer", gold(spark, email_masked="a.b@c.de"), target, audit) and quality.published(spark, target).first().email_masked == "km**@gmail.com"
+    for n in range(3):
+        assert quality.publish("customer", gold(spark, last_name=f"M{n}"), target, audit) and quality.published(spark, target).first().last_name == f"M{n}"
+    assert len(list((tmp_path / "gold/data").iterdir())) == 2
+    (tmp_path / "gold/versions/000000000099.json").write_text('{"data": ')  # a head that was cut short
+    assert quality.published(spark, target).first().last_name == "M2" and quality.publish("customer", gold(spark), target, audit) and (tmp_path / "gold/versions/000000000100.json").exists()
 
 
 def test_rules(spark):
