@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import map_rows
 from ..functions.columns import stage
 from ..session import Scratch
-from .mojibake import Repairer, letter_pairs
+from .mojibake import Repairer, shipped_pairs
 
 # Short forms of given names, endings of street names, unit words, letters that don't decompose.
 NICKNAMES = {
@@ -125,8 +125,7 @@ def _row(first, last, tel, dob, house, street, unit, city, state, code) -> tuple
 def _people(spark, crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame) -> DataFrame:
     """(rid, source, fields): one row per key, the greatest value of each field over its repeated rows."""
     schema = f"rid string, source string, {FIELDS}"
-    counts = {r.pair: r.n for r in letter_pairs(crm, ["first_name", "last_name"]).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(counts)
+    shared = shipped_pairs(crm, ["first_name", "last_name"])
 
     kept: dict = {}  # per worker
 
