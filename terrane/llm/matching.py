@@ -1,11 +1,10 @@
 """Matching entities across sources without common keys.
 
-Each record becomes a short document of attribute terms. An inverted index over all terms with BM25 weights (a term
-occurs once in a record, so its weight is its idf) retrieves, exactly, every pair of records of different tables
-that reaches the least score: terms are ordered from rare to common, and a pair that reaches the score shares its
-rarest common term within both records' prefixes, beyond which the rest cannot add up to it. Of the retrieved pairs
-those stay that are nearest to each other, and a logistic calibration fitted on labelled pairs turns the agreement of
-the attributes and the score gap into a confidence.
+Each record is a document of attribute terms, searched by BM25 among the records of the other tables through an
+inverted index. The best partners are found exactly: terms are ordered from rare to common with an upper bound of what
+each can add to any score, so a pair that reaches the least score shares a term within both records' prefixes; no other
+pair is scored. Pairs that are nearest to each other stay, and a logistic model fitted on labelled pairs turns score,
+score gap and the agreement of the attributes into a confidence.
 """
 
 from __future__ import annotations
@@ -38,11 +37,10 @@ UNITS = ("apt", "unit", "apartment", "suite", "ste")
 PLAIN = {"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "þ": "th", "đ": "d", "ð": "d", "ı": "i", "œ": "oe", "ς": "σ"}
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
-#: Least score, as a multiple of the log of the number of records: about the weight of one term that is nearly unique and some common ones.
-LEAST = 1.5
-#: Pairs this far, as a share of the better score, from the nearest partner still count as nearest: a person can have several records in one table.
-NEAR = 0.7
-NEAR_DESPITE = 0.1  # the same for pairs whose phones contradict and whose birth dates aren't known to agree: a namesake in the same house has a better partner
+#: BM25: saturation of term counts, share of the length normalisation.
+K1, B = 1.2, 0.75
+#: Scores under this multiple of the log of the number of records are not searched: about two terms that are nearly unique, or one and many common ones.
+LEAST = 2.3
 #: Rows of labelled pairs that the calibration is fitted on, at most.
 LABELLED_ROWS = 10_000
 
@@ -50,6 +48,7 @@ FIELDS = "first string, last string, phone string, dob string, house string, str
 _SHORT = {s: full for full, shorts in reversed(NICKNAMES.items()) for s in shorts.split()}
 
 
+@lru_cache(200_000)
 def plain(text: str | None) -> str:
     t = unicodedata.normalize("NFKD", (text or "").casefold())
     t = "".join(PLAIN.get(c, c) for c in t if not unicodedata.combining(c))
@@ -122,11 +121,10 @@ def _row(first, last, tel, dob, house, street, unit, city, state, code) -> tuple
     return given(first), family(last), phone(tel), born(dob), house, street, unit, city, state, code
 
 
-def _people(spark, crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame) -> DataFrame:
-    """(rid, source, fields): one row per key, the greatest value of each field over its repeated rows."""
+def _people(crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame) -> DataFrame:
+    """(rid, source, fields) of every landed row with a key."""
     schema = f"rid string, source string, {FIELDS}"
     shared = shipped_pairs(crm, ["first_name", "last_name"])
-
     kept: dict = {}  # per worker
 
     def fix(v):
@@ -151,47 +149,75 @@ def _people(spark, crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame) ->
         map_rows(merger_a.filter("account_id is not null").select("account_id", "name", "dob", "address", "phone"), from_a, schema),
         map_rows(merger_c.filter("uuid is not null").select("uuid", "first_name", "last_name", "phone", "address_line1", "city", "state"), from_c, schema),
     ]
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("rid", "source").agg(*[F.max(n).alias(n) for n in names])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _labelled(golden: DataFrame) -> DataFrame:
+    """The records of labelled pairs (match, non_match) like rows of two further tables: (rid, source, fields); rid ends with pair and label."""
+    rows = golden.filter(F.col("label").isin("match", "non_match")).select("pair_id", "record_a", "record_b", "label").orderBy("pair_id").limit(LABELLED_ROWS)
+
+    def both(pair, a, b, label):
+        for source, m in (("label_a", dict(a or {})), ("label_b", dict(b or {}))):
+            yield f"{source}:{pair}:{label}", source, *_row(*person(m.get("name")), m.get("phone"), m.get("dob"), *whole_address(m.get("address")))
+
+    return map_rows(rows, both, f"rid string, source string, {FIELDS}")
+
+
+_NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
-def _terms(prefix: str = "") -> Column:
-    """The terms of a record: attributes alone, which are common, and joined, which are rare."""
-    c = lambda n: F.col(prefix + n)
-    both = lambda tag, *cols: F.when(F.array_min(F.array(*[F.length(c(x)) for x in cols])) > 0, F.concat_ws("|", F.lit(tag), *[c(x) for x in cols]))
+def _terms(v: Column) -> Column:
+    """The terms of one row, hashed: attributes alone, which are common, and joined, which are rare."""
+
+    def both(tag, *cols):
+        return F.when(F.array_min(F.array(*[F.length(v[x]) for x in cols])) > 0, F.xxhash64(F.lit(tag), *[v[x] for x in cols]))
+
+    initial = F.when((F.length(v["first"]) > 0) & (F.length(v["phone"]) > 0), F.xxhash64(F.lit("ip"), F.substring(v["first"], 1, 1), v["phone"]))
     return F.array_compact(
         F.array(
-            both("f", "first"), both("l", "last"), both("c", "city"), both("s", "state"), both("z", "zip"), both("d", "dob"),
-            both("p", "phone"), both("ld", "last", "dob"), both("fd", "first", "dob"), both("hs", "house", "street"), both("hc", "house", "city"),
-            both("flh", "first", "last", "house"), both("fls", "first", "last", "state"), both("flc", "first", "last", "city"), both("fp", "first", "phone"), both("lp", "last", "phone"),
-            F.when((F.length(c("first")) > 0) & (F.length(c("phone")) > 0), F.concat(F.lit("ip|"), F.substring(c("first"), 1, 1), F.lit("|"), c("phone"))),
+            both("f", "first"), both("l", "last"), both("c", "city"), both("s", "state"), both("z", "zip"), both("d", "dob"), both("p", "phone"), both("ld", "last", "dob"), both("fd", "first", "dob"),
+            both("hs", "house", "street"), both("hc", "house", "city"), both("flh", "first", "last", "house"), both("fls", "first", "last", "state"), both("flc", "first", "last", "city"), both("fp", "first", "phone"), both("lp", "last", "phone"), initial,
         )
     )
 
 
-def idf(n: int) -> Column:
-    return F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+def records(rows: DataFrame) -> DataFrame:
+    """(rid, source, v, terms, size): one row per key with all variants of its landed rows, each distinct one once; a term stands as often as variants have it."""
+    d = rows.groupBy("rid", "source").agg(F.array_sort(F.collect_set(F.struct(*_NAMES))).alias("v"))
+    return stage(d, {"terms": F.flatten(F.transform("v", _terms))}).withColumn("size", F.size("terms"))
+
+
+def index(docs: DataFrame, n: int, mean: float, least: float, scratch: Scratch) -> DataFrame:
+    """docs with t, their terms as (h, idf, imp) from rare to common, and the prefix that a partner of the least score must share.
+
+    imp is the BM25 factor of a term in this record, from its count and the record's length; a pair's score is the sum
+    of idf * imp over shared terms. Only terms that occur in two tables count. bound is idf times the greatest imp
+    of a term anywhere: where the bounds from a term on sum up to less than least, no partner can reach it by these
+    terms alone, so the prefix ends there. Order and bounds are the same for all records, so of two that reach the
+    least score both prefixes hold their rarest shared term.
+    """
+    count = lambda h: F.size(F.filter("terms", lambda x: x == h)).cast("double")
+    norm = K1 * (1 - B + B * F.col("size") / F.lit(max(mean, 1.0)))
+    each = docs.select("rid", "source", F.explode(F.transform(F.array_distinct("terms"), lambda h: F.struct(h.alias("h"), (count(h) * (K1 + 1) / (count(h) + norm)).alias("imp")))).alias("x")).select("rid", "source", "x.*")
+    df = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.max("imp").alias("most"), F.min("source").alias("s"), F.max("source").alias("z")).filter("s < z")
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.select("h", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
+    own = each.join(weights, "h").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("o"), "h", "imp", "bound"))).alias("t"))
+    total = F.aggregate("t", F.lit(0.0), lambda s, x: s + x["bound"])
+    cut = F.aggregate(
+        "t", F.struct(total.alias("rest"), F.array().cast("array<bigint>").alias("prefix")),
+        lambda s, x: F.when(s["rest"] >= least, F.struct((s["rest"] - x["bound"]).alias("rest"), F.array_append(s["prefix"], x["h"]).alias("prefix"))).otherwise(s), lambda s: s["prefix"],
+    )
+    found = own.select("rid", F.transform("t", lambda x: F.struct(x["h"].alias("h"), (-x["o"]).alias("idf"), x["imp"].alias("imp"))).alias("t"), cut.alias("prefix"))
+    return scratch.put(docs.select("rid", "source", "v").join(found, "rid", "left").select("rid", "source", "v", "t", "prefix"))
 
 
-def retrieve(people: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Weights of all terms of n records, and (a, b, score) of every two records of different tables, a before b, whose shared terms weigh at least LEAST times log N."""
-    least = LEAST * math.log(max(n, 2))
-    terms = people.select("rid", "source", F.explode(F.array_distinct(_terms())).alias("term"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), (F.min("source") < F.max("source")).alias("shared"))
-    weights = scratch.put(df.select("term", "shared", idf(n).alias("w")))
-    weighed = terms.join(weights.filter("shared").select("term", "w"), "term")
-    # from rare to common; each term with the weight of itself and all that follow
-    own = weighed.groupBy("rid", "source").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "term"))).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda s, x: s - x["o"])
-    left = F.aggregate("t", F.struct(total.alias("rest"), F.array().cast("array<string>").alias("prefix")), lambda s, x: F.struct((s["rest"] + x["o"]).alias("rest"), F.when(s["rest"] >= least, F.array_append(s["prefix"], x["term"])).otherwise(s["prefix"]).alias("prefix")), lambda s: s["prefix"])
-    docs = scratch.put(own.select("rid", "source", "t", left.alias("prefix")).filter(F.size("prefix") > 0))
-    posts = docs.select("rid", "source", F.explode("prefix").alias("term"))
-    x, y = (posts.select(F.col("rid").alias(k), F.col("source").alias(f"{k}s"), "term") for k in ("a", "b"))
-    pairs = x.join(y, "term").filter("as < bs").select("a", "b").distinct()
-    one, two = (docs.select(F.col("rid").alias(k), F.col("t").alias(f"{k}t")) for k in ("a", "b"))
-    score = F.aggregate(F.array_intersect("at", "bt"), F.lit(0.0), lambda s, x: s - x["o"])
-    return weights, scratch.put(pairs.join(one, "a").join(two, "b").select("a", "b", score.alias("score")).filter(F.col("score") >= least))
+def candidates(docs: DataFrame) -> DataFrame:
+    """(a, b) of every two records of different tables, a before b, that share a term within both prefixes: all others score under the least score."""
+    posts = docs.select("rid", "source", F.explode("prefix").alias("h"))
+    x, y = (posts.select(F.col("rid").alias(k), F.col("source").alias(f"{k}s"), "h") for k in ("a", "b"))
+    real = ~(F.col("as").startswith("label_") & F.col("bs").startswith("label_"))
+    return x.join(y, "h").filter((F.col("as") < F.col("bs")) & real).select("a", "b").distinct()
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -202,133 +228,133 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(a == b, 2).when(slip | part | swapped, 1).otherwise(0)
 
 
-FEATURES = ("first_same", "first_other", "last_same", "last_other", "phone_same", "phone_slip", "phone_other", "dob_same", "dob_other", "street_same", "street_other", "place_same", "place_other")
-
-
-#: What an attribute that agrees but for a slip adds to the score, as a multiple of the log of the number of records.
-SLIPS = {"first": 0.45, "last": 0.7, "phone": 0.9, "street": 0.9}
+FEATURES = ("first_slip", "first_other", "last_slip", "last_other", "phone_same", "phone_slip", "phone_other", "dob_same", "dob_other", "street_same", "street_slip", "street_other", "place_same", "place_other")
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """Add the FEATURES, each 0 or 1, and slips to rows with fields x_... and y_...; a missing value agrees with nothing and contradicts nothing."""
-    x, y = (lambda n: F.col(f"x_{n}")), (lambda n: F.col(f"y_{n}"))
-    have = lambda n: (F.length(x(n)) > 0) & (F.length(y(n)) > 0)
-    far = lambda n: F.levenshtein(x(n), y(n))
-    street = have("street") & have("house")
-    same_street = (_alike(x("street"), y("street")) > 0) & ((x("house") == y("house")) | ((far("house") <= 1) & (x("street") == y("street"))))
-    other_unit = have("unit") & (x("unit") != y("unit"))
-    cols = pairs.columns
-    pairs = stage(pairs, {"__f": _alike(x("first"), y("first")), "__l": _alike(x("last"), y("last")), "__street": same_street, "__phone": far("phone"), "__city": have("city") & (_alike(x("city"), y("city")) == 0)})
-    f, l, same_street = F.col("__f"), F.col("__l"), F.col("__street")
-    swapped = (x("first") == y("last")) & (x("last") == y("first")) & have("first")
-    flags = {
-        "first_same": (f > 0) | swapped, "first_other": have("first") & (f == 0) & ~swapped,
-        "last_same": (l > 0) | swapped, "last_other": have("last") & (l == 0) & ~swapped,
-        "phone_same": have("phone") & (x("phone") == y("phone")), "phone_slip": have("phone") & (F.col("__phone") == 1), "phone_other": have("phone") & (F.col("__phone") > 1),
-        "dob_same": have("dob") & (x("dob") == y("dob")), "dob_other": have("dob") & (x("dob") != y("dob")),
-        "street_same": street & same_street & ~other_unit, "street_other": street & (~same_street | other_unit),
-        "place_same": have("state") & (x("state") == y("state")) & ~F.col("__city"),
-        "place_other": have("state") & ((x("state") != y("state")) | F.col("__city")),
-    }
-    near = {"first": f == 1, "last": l == 1, "phone": flags["phone_slip"], "street": flags["street_same"] & ((x("street") != y("street")) | (x("house") != y("house")))}
-    slips = sum((F.when(near[k], F.lit(v)).otherwise(0.0) for k, v in SLIPS.items()), F.lit(0.0))
-    told = stage(pairs, {k: F.coalesce(v, F.lit(False)).cast("double") for k, v in flags.items()} | {"slips": slips})
-    return told.select(*cols, *flags, "slips")
-
+    """Add the FEATURES, each 0 or 1, to rows with variants xv and yv.
 
-def labelled(golden: DataFrame) -> DataFrame:
-    """The labelled pairs (match, non_match) as fields x_... and y_... with the label."""
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-    schema = ", ".join(f"{k}_{n} string" for k in "xy" for n in names) + ", label string"
-
-    def fields(m):
-        m = dict(m or {})
-        return _row(*person(m.get("name")), m.get("phone"), m.get("dob"), *whole_address(m.get("address")))
+    An attribute agrees if any variants agree, slips if any do so but for a slip, and contradicts if both sides have it
+    and no variants agree even so; a missing value does none of these.
+    """
 
-    rows = golden.filter(F.col("label").isin("match", "non_match")).select("record_a", "record_b", "label").limit(LABELLED_ROWS)
-    return map_rows(rows, lambda a, b, label: [(*fields(a), *fields(b), label)], schema)
+    def values(side, *names):
+        one = (lambda v: v[names[0]]) if len(names) == 1 else (lambda v: F.struct(*[v[n].alias(n) for n in names]))
+        return F.array_distinct(F.transform(F.filter(side, lambda v: F.array_min(F.array(*[F.length(v[n]) for n in names if n != "unit"])) > 0), one))
+
+    cols = [c for c in pairs.columns if c not in ("xv", "yv")]
+    parts = {"first": ("first",), "last": ("last",), "phone": ("phone",), "dob": ("dob",), "street": ("house", "street", "unit"), "place": ("state", "city"), "names": ("first", "last")}
+    d = stage(pairs, {f"{side[0]}_{k}": values(side, *v) for side in ("xv", "yv") for k, v in parts.items()})
+    have = lambda k: (F.size(f"x_{k}") > 0) & (F.size(f"y_{k}") > 0)
+    best = lambda k, fn: F.coalesce(F.array_max(F.flatten(F.transform(f"x_{k}", lambda a: F.transform(f"y_{k}", lambda b: fn(a, b))))), F.lit(0))
+
+    def street(a, b):
+        alike = _alike(a["street"], b["street"])
+        same = (alike > 0) & ((a["house"] == b["house"]) | ((F.levenshtein(a["house"], b["house"]) <= 1) & (a["street"] == b["street"])))
+        other_unit = (F.length(a["unit"]) > 0) & (F.length(b["unit"]) > 0) & (a["unit"] != b["unit"])
+        return F.when(~same | other_unit, 0).when((alike == 2) & (a["house"] == b["house"]), 2).otherwise(1)
+
+    swapped = best("names", lambda a, b: F.when((a["first"] == b["last"]) & (a["last"] == b["first"]), 2).otherwise(0))
+    tests = {
+        "first": F.greatest(best("first", _alike), swapped), "last": F.greatest(best("last", _alike), swapped), "dob": best("dob", lambda a, b: F.when(a == b, 2).otherwise(0)),
+        "phone": best("phone", lambda a, b: F.when(a == b, 2).when(F.levenshtein(a, b) == 1, 1).otherwise(0)), "street": best("street", street),
+        "place": best("place", lambda a, b: F.when((a["state"] == b["state"]) & (_alike(a["city"], b["city"]) > 0), 2).otherwise(0)),
+    }
+    told = stage(d, {f"__{k}": v for k, v in tests.items()})
+    flag = lambda name: F.when(have(name.rpartition("_")[0]) & (F.col("__" + name.rpartition("_")[0]) == {"same": 2, "slip": 1, "other": 0}[name.rpartition("_")[2]]), 1.0).otherwise(0.0)
+    return told.select(*cols, *[flag(f).alias(f) for f in FEATURES])
 
 
-#: How much each contradiction counts; the calibration finds the common factor.
-AGAINST = {"first_other": 1.0, "last_other": 1.0, "phone_other": 1.0, "dob_other": 1.0, "street_other": 0.5, "place_other": 0.5}
+def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) with the BM25 score of b for a as query (ab) and of a for b (ba), the FEATURES, and hashes of what makes two keys of one table one person (a1, a2, b1, b2)."""
+    whole = lambda names: F.transform(F.filter("v", lambda v: F.array_min(F.array(*[F.length(v[n]) for n in names])) > 0), lambda v: F.xxhash64(*[v[n] for n in names]))
+    one = docs.select("rid", "v", F.coalesce("t", F.array().cast("array<struct<h:bigint,idf:double,imp:double>>")).alias("t"), F.array_min(whole(("first", "last", "phone"))).alias("g1"), F.array_min(whole(("first", "last", "house", "street", "dob"))).alias("g2"))
+    side = lambda k, s: one.select(F.col("rid").alias(k), F.col("v").alias(f"{s}v"), F.col("t").alias(f"{k}t"), F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"))
+    d = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    hs = lambda t: F.transform(t, lambda x: x["h"])
+    common = F.array_intersect(hs("at"), hs("bt"))
+    score = lambda t: F.aggregate(F.filter(t, lambda x: F.array_contains("common", x["h"])), F.lit(0.0), lambda s, x: s + x["idf"] * x["imp"])
+    d = stage(d, {"common": common}).withColumns({"ab": score("bt"), "ba": score("at")}).drop("common", "at", "bt")
+    return compare(d)
 
 
-def against() -> Column:
-    return sum((F.col(k) * F.lit(v) for k, v in AGAINST.items()), F.lit(0.0))
+def _table(rid: str) -> Column:
+    return F.substring_index(rid, ":", 1)
 
 
-def calibrate(golden: DataFrame, weights: DataFrame, n: int, ridge: float = 0.5) -> np.ndarray:
-    """(intercept, weight of the score over log n, weight of contradictions) of a logistic model of labelled pairs.
+def mutual(scored: DataFrame, least: float) -> DataFrame:
+    """(a, b, score, gap) of pairs that are nearest to each other, each among the records of the other's table.
 
-    Pairs are scored as the retrieval scores them, terms that no record has by the greatest weight. Fitted by
-    Newton's method with a ridge penalty, at most on LABELLED_ROWS pairs. Without labels the weights are zero.
+    Nearest is the best partner, any of the same score, and other keys of that same person: equal names with equal
+    phones, or with equal streets and birth dates. gap is the score less that of the best partner who is not nearest, or
+    less the least score searched; of both directions the smaller one counts. Neither has a cap on partners.
     """
-    pairs = compare(labelled(golden)).select(F.monotonically_increasing_id().alias("id"), against().alias("against"), "slips", "label", F.array_intersect(_terms("x_"), _terms("y_")).alias("t"))
-    rarest = math.log(1 + (n + 0.5) / 0.5)
-    score = pairs.select("id", F.explode("t").alias("term")).join(weights, "term", "left").groupBy("id").agg(F.sum(F.coalesce("w", F.lit(rarest))).alias("score"))
-    rows = pairs.join(score, "id", "left").select(F.coalesce("score", F.lit(0.0)).alias("score"), "slips", "against", "label").toPandas()
-    w = np.zeros(3)
-    if len(rows) == 0:
-        return w
-    x = np.column_stack([np.ones(len(rows)), rows["score"] / math.log(max(n, 2)) + rows["slips"], rows["against"]])
-    y = (rows["label"] == "match").to_numpy(float)
-    penalty = np.diag([1e-3, ridge, ridge])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
+    way = lambda q, d, s: F.struct(F.col(q).alias("q"), F.col(d).alias("d"), F.col(s).alias("score"), F.col(f"{d}1").alias("g1"), F.col(f"{d}2").alias("g2"))
+    long = scored.select(F.explode(F.array(way("a", "b", "ab"), way("b", "a", "ba"))).alias("w")).select("w.*", _table("w.d").alias("of")).filter(F.col("score") >= least)
+    all_of = Window.partitionBy("q", "of")
+    d = long.withColumn("top", F.max(F.struct("score", "d", "g1", "g2")).over(all_of))
+    same = lambda g: F.coalesce(F.col(g) == F.col(f"top.{g}"), F.lit(False))
+    d = d.withColumn("near", (F.col("score") >= F.col("top.score") - 1e-9) | same("g1") | same("g2"))
+    d = d.withColumn("other", F.coalesce(F.max(F.when(~F.col("near"), F.col("score"))).over(all_of), F.lit(least))).filter("near")
+    both = d.groupBy(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"), F.min(F.col("score") - F.col("other")).alias("gap")).filter("n = 2").drop("n")
+
+
+#: What the calibration believes before it has seen labels: weights per log N of score and gap, and of each feature. Few labels show every contradiction.
+PRIOR = {"score": 1.0, "gap": 1.0, "first_slip": 0.5, "last_slip": 0.5, "phone_slip": 1.0, "street_slip": 1.0, "first_other": -4.0, "last_other": -4.0, "phone_other": -1.0, "dob_other": -4.0, "street_other": -1.0, "place_other": -1.0}
+TOLD = ("score", "gap", *FEATURES)
+
+
+def calibrate(rows: list[tuple[list[float], bool]], ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic model (intercept, then TOLD) of labelled pairs, by Newton's method with a ridge penalty around PRIOR. Without labels all weights are zero."""
+    mean = np.array([0.0, *[PRIOR.get(k, 0.0) for k in TOLD]])
+    if not rows:
+        return np.zeros(len(mean))
+    x = np.array([[1.0, *f] for f, _ in rows])
+    y = np.array([m for _, m in rows], float)
+    w, penalty = mean.copy(), np.diag([1e-3, *[ridge] * len(TOLD)])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ (w - mean))
+        w += step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-#: What identifies a person among those who have one phone.
-KEY = ("first", "last", "house", "street", "phone")
-
-
-def with_births(told: DataFrame, people: DataFrame, doubtful: Column) -> DataFrame:
-    """Add born_same to pairs: both birth dates agree, where a missing one is lent by the records of the same KEY if they give exactly one.
-
-    Looked up for doubtful pairs only; the other rows, and records with a part of the key missing, join on their own
-    id, which is nobody's key, so that no value gathers them.
-    """
-    whole = lambda prefix: F.array_min(F.array(*[F.length(prefix + n) for n in KEY])) > 0
-    key = lambda prefix: F.to_json(F.array(*[F.col(prefix + n) for n in KEY]))
-    known = people.filter(whole("") & (F.length("dob") > 0)).groupBy(key("").alias("key")).agg(F.min("dob").alias("born"), F.max("dob").alias("last_born")).filter("born = last_born")
-    cols = told.columns
-    for side, p in (("a", "x_"), ("b", "y_")):
-        lent = known.select(F.col("key").alias(f"{side}_key"), F.col("born").alias(f"{side}_lent"))
-        told = told.withColumn(f"{side}_key", F.when(doubtful & whole(p) & (F.length(p + "dob") == 0), key(p)).otherwise(F.col(side))).join(lent, f"{side}_key", "left")
-    born = lambda side, p: F.when(F.length(p + "dob") > 0, F.col(p + "dob")).otherwise(F.col(f"{side}_lent"))
-    return told.select(*cols, F.coalesce(born("a", "x_") == born("b", "y_"), F.lit(False)).alias("born_same"))
-
-
 def match_people(crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame, golden: DataFrame, least_confidence: float = 0.5) -> DataFrame:
     """(record_a_id, record_b_id, confidence) of pairs of records of one person, the smaller id first.
 
-    A pair must be nearest in both directions: no other record of the partner's table scores better by more than the
-    share NEAR, or NEAR_DESPITE if the phones differ and nothing tells that the birth dates agree. Confidence is logistic in the score, the contradictions and the score gap to a better partner. Key numbers are no evidence. An exact check follows: given and family names must not contradict each
-    other, and neither may the dates of birth unless phone and street both agree. Null keys name no record; missing
-    attributes neither agree nor contradict; records with the same attributes all match; empty tables give no pairs.
+    Every record queries the records of the other tables by BM25 over its attributes; the best ones are found exactly,
+    and pairs stay that are nearest in both directions. Confidence is logistic in the score, its gap to the next best
+    partner and the agreement of the attributes, fitted on the labelled pairs, whose records are searched like those of
+    two further tables. An exact check follows: names and birth dates must not contradict, and something beyond the
+    name must agree. Key numbers are no evidence. Null keys name no record; missing attributes neither agree nor
+    contradict; repeated rows of a key are one record with all variants; empty tables give no pairs.
     """
-    spark = crm.sparkSession
-    scratch = Scratch(spark, "people")
-    people = scratch.put(_people(spark, crm, merger_a, merger_c))
-    n = people.count()
-    weights, scored = retrieve(people, n, scratch)
-    best = lambda side, other: F.max("score").over(Window.partitionBy(side, F.substring_index(other, ":", 1)))
-    near = scored.withColumns({"top_a": best("a", "b"), "top_b": best("b", "a")})
-    gap = F.greatest("top_a", "top_b") - F.col("score")
-    near = near.withColumn("gap", gap / F.greatest("top_a", "top_b")).filter(F.col("gap") <= NEAR)
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-    x, y = (people.select(F.col("rid").alias(r), *[F.col(n).alias(f"{k}_{n}") for n in names]) for r, k in (("a", "x"), ("b", "y")))
-    told = compare(near.join(x, "a").join(y, "b"))
-    w = [float(v) for v in calibrate(golden, weights, n)]
-    logit = F.lit(w[0]) + F.lit(w[1]) * (F.col("score") / F.lit(math.log(max(n, 2))) + F.col("slips")) + F.lit(w[2]) * against()
-    confidence = 1 / (1 + F.exp(-(logit - F.col("gap"))))
-    doubtful = (F.col("phone_other") == 1) & (F.col("gap") > NEAR_DESPITE)
-    told = with_births(told, people, doubtful & (F.col("dob_same") == 0)).filter(~doubtful | F.col("born_same"))
-    evidence = F.col("phone_same") + F.col("phone_slip") + F.col("dob_same") + F.col("street_same")
-    sound = (F.col("first_other") == 0) & (F.col("last_other") == 0) & (evidence > 0) & ((F.col("dob_other") == 0) | (F.col("phone_same") + F.col("street_same") == 2))
-    found = told.withColumn("confidence", F.round(confidence, 6)).filter(sound & (F.col("confidence") >= least_confidence))
-    return found.select(F.least("a", "b").alias("record_a_id"), F.greatest("a", "b").alias("record_b_id"), "confidence", "score", *FEATURES)
+    scratch = Scratch(crm.sparkSession, "people")
+    docs = scratch.put(records(_people(crm, merger_a, merger_c).unionByName(_labelled(golden))))
+    n, mean = docs.agg(F.count(F.lit(1)), F.avg("size")).first()
+    log = math.log(max(n, 2))
+    docs = index(docs, n, mean or 1.0, LEAST * log, scratch)
+    scored = scratch.put(judged(candidates(docs), docs))
+    label = F.col("a").startswith("label_") | F.col("b").startswith("label_")
+
+    # labelled pairs, found by the search or not, with the best other partner of either record
+    ids = docs.filter(F.col("source") == "label_a").select(F.col("rid").alias("a"), F.regexp_replace("rid", "^label_a", "label_b").alias("b"))
+    way = lambda q, s: F.struct(F.col(q).alias("q"), F.col(s).alias("s"))
+    others = scored.filter(label).select(F.explode(F.array(way("a", "ab"), way("b", "ba"))).alias("w")).groupBy("w.q").agg(F.max("w.s").alias("s"))
+    best = lambda k: others.select(F.col("q").alias(k), F.col("s").alias(f"{k}o"))
+    known = judged(ids, docs).join(best("a"), "a", "left").join(best("b"), "b", "left")
+    gap = F.least(F.col("ab") - F.coalesce("ao", F.lit(LEAST * log)), F.col("ba") - F.coalesce("bo", F.lit(LEAST * log)))
+    rows = known.select("a", ((F.col("ab") + F.col("ba")) / (2 * log)).alias("score"), (gap / log).alias("gap"), *FEATURES).collect()  # at most LABELLED_ROWS
+    w = [float(v) for v in calibrate([([r[k] for k in TOLD], r.a.endswith(":match")) for r in rows])]
+
+    near = mutual(scored.filter(~label), LEAST * log)
+    told = near.join(scored.select("a", "b", *FEATURES), ["a", "b"]).withColumns({"score": F.col("score") / log, "gap": F.col("gap") / log})
+    logit = F.lit(w[0]) + sum((F.col(k) * F.lit(v) for k, v in zip(TOLD, w[1:])), F.lit(0.0))
+    evidence = F.col("phone_same") + F.col("phone_slip") + F.col("dob_same") + F.col("street_same") + F.col("street_slip")
+    agree = (F.col("phone_same") + F.col("street_same") + F.col("street_slip")) >= 2
+    sound = (F.col("first_other") == 0) & (F.col("last_other") == 0) & (evidence > 0) & ((F.col("dob_other") == 0) | agree)
+    found = told.withColumn("confidence", F.round(1 / (1 + F.exp(-logit)), 6)).filter(sound & (F.col("confidence") >= least_confidence))
+    return scratch.result(found.select(F.col("a").alias("record_a_id"), F.col("b").alias("record_b_id"), "confidence", F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"), *FEATURES))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import __spark_entry__ as entry
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from terrane.llm import components, leakage, matching, mojibake, packing, sentences, survivorship
@@ -176,7 +177,7 @@ def test_matching(spark):
 
 
 def test_old_phone_of_a_person_with_two_records(spark):
-    """Two records in one table, one with the old phone: both match if the birth dates agree, directly or by another record of that phone; a namesake's doesn't."""
+    """Two records in one table, one with the old phone: both are nearest if the birth dates agree; a namesake isn't."""
     golden = spark.read.parquet(f"{SF}/golden_pair.parquet")
     word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03d}")
     fill = [(100 + i, str(900 + i), f"F{word(i)}", f"L{word(i)}name", f"3125551{i:03d}", f"{i + 10} Oak St", "Wex", "PA", "11111", f"19{50 + i % 40}-01-01") for i in range(300)]
@@ -185,33 +186,71 @@ def test_old_phone_of_a_person_with_two_records(spark):
     a = [(1, "Richard Zelliley", "1961-02-19", f"{home}, Elderdale OH", "709-555-8702"), (2, "Richard Zelliley", "1961-02-19", f"{home}, Elderdale OH", "509-555-6832"), (3, "Richard Zelliley", "1990-07-01", f"{home}, Elderdale OH", "416-555-1111")]
     c = [(f"u{i}", "Richard", "Zelliley", None, tel, home, "Elderdale", "OH") for i, tel in enumerate(("709-555-8702", "509-555-6832", "416-555-1111", "212-555-2222"))]
     got = {(r.record_a_id, r.record_b_id) for r in matching.match_people(*tables(spark, crm, a, c), golden).collect()}
-    mine = ("crm:1", "merger_a:1", "merger_a:2")
-    assert {p for p in got if p[0] == "crm:1"} == {("crm:1", x) for x in ("merger_a:1", "merger_a:2", "merger_c:u0", "merger_c:u1")}
-    assert {p for p in got if p[0] in mine and p[1] == "merger_c:u2"} == set() and ("merger_a:3", "merger_c:u2") in got
+    assert got == {("crm:1", "merger_a:1"), ("crm:1", "merger_a:2"), ("crm:1", "merger_c:u0"), ("merger_a:1", "merger_c:u0"), ("merger_a:2", "merger_c:u1"), ("merger_a:3", "merger_c:u2")}
 
 
-def test_retrieval_is_exact(spark):
-    """Every pair whose shared terms weigh enough is retrieved, and no other."""
+def test_variants_of_a_key_are_kept(spark):
+    golden = spark.read.parquet(f"{SF}/golden_pair.parquet")
+    home = "8202 Mallow Spring St"
+    fill = [(100 + i, str(900 + i), f"F{i}", f"L{i}name", f"31255510{i:02d}", f"{i + 10} Oak St", "Wex", "PA", "11111", f"19{50 + i % 40}-01-01") for i in range(90)]
+    crm = [(1, "1", "Richard", "Zelliley", "709-555-8702", "1 Elm St", "Aton", "OH", "12345", None), (2, "1", "Richard", "Zelliley", "509-555-6832", home, "Elderdale", "WI", "22345", None), *fill]
+    a = [(1, "Richard Zelliley", None, f"{home}, Elderdale WI", None)]
+    c = [("u", "Richard", "Zelliley", None, "709-555-8702", None, None, None)]
+    got = {(r.record_a_id, r.record_b_id): r for r in matching.match_people(*tables(spark, crm, a, c), golden).collect()}
+    assert set(got) == {("crm:1", "merger_a:1"), ("crm:1", "merger_c:u")} and all(r.phone_other == r.street_other == r.place_other == 0 for r in got.values())
+
+
+def test_search_is_exact(spark):
+    """Scores are BM25, every pair that reaches the least score is found, and the nearest test is that of all pairs."""
     import math
 
     from terrane.session import Scratch
 
     rng = random.Random(7)
-    names = [x.split()[0] for x in matching.FIELDS.split(", ")]
-    rows = [(f"{s}:{i}", s, *[rng.choice(["", "a", "b", "c", "d"]) for _ in names]) for s in ("crm", "merger_a", "merger_c") for i in range(25)]
-    people = spark.createDataFrame(rows, ["rid", "source", *names])
-    n = len(rows)
-    weights, pairs = matching.retrieve(people, n, Scratch(spark, "test"))
-    w = {r.term: r.w for r in weights.filter("shared").collect()}
-    terms = {r.rid: set(r.t) for r in people.select("rid", matching._terms().alias("t")).collect()}
-    want = {}
-    for x in terms:
-        for y in terms:
-            if x.split(":")[0] < y.split(":")[0]:
-                s = sum(w.get(t, 0) for t in terms[x] & terms[y])
-                if s >= matching.LEAST * math.log(n):
-                    want[(x, y)] = round(s, 6)
-    assert want and {(r.a, r.b): round(r.score, 6) for r in pairs.collect()} == want
+    names = matching._NAMES
+    rows = [(f"{s}:{i % 22}", s, *[rng.choice(["", "a", "b", "c", "d"]) for _ in names]) for s in ("crm", "merger_a", "merger_c") for i in range(25)]
+    docs = matching.records(spark.createDataFrame(rows, ["rid", "source", *names]))
+    terms = {r.rid: Counter(r.terms) for r in docs.collect()}
+    n, mean = len(terms), sum(sum(t.values()) for t in terms.values()) / len(terms)
+    least = 1.2 * math.log(n)
+    found = matching.index(docs, n, mean, least, Scratch(spark, "test"))
+    scored = matching.judged(matching.candidates(found), found).persist()
+    got = {(r.a, r.b): (r.ab, r.ba) for r in scored.collect()}
+    df, where = Counter(h for t in terms.values() for h in t), defaultdict(set)
+    for rid, t in terms.items():
+        for h in t:
+            where[h].add(rid.split(":")[0])
+
+    def score(q, d):
+        size = sum(terms[d].values())
+        return sum(math.log(1 + (n - df[h] + 0.5) / (df[h] + 0.5)) * terms[d][h] * 2.2 / (terms[d][h] + 1.2 * (0.25 + 0.75 * size / mean)) for h in terms[q] if h in terms[d])
+
+    table = lambda x: x.split(":")[0]
+    want = {(x, y): (score(x, y), score(y, x)) for x in terms for y in terms if table(x) < table(y)}
+    reach = {p for p, s in want.items() if max(s) >= least}
+    assert reach and reach <= set(got) and len(got) < len(want)
+    for p, s in got.items():
+        assert s == pytest.approx(want[p])
+    best = defaultdict(float)
+    for (x, y), (to_y, to_x) in want.items():
+        best[x, table(y)], best[y, table(x)] = max(best[x, table(y)], to_y), max(best[y, table(x)], to_x)
+    nearest = {(x, y) for (x, y), (to_y, to_x) in want.items() if min(to_x, to_y) >= least and to_y >= best[x, table(y)] - 1e-9 and to_x >= best[y, table(x)] - 1e-9}
+    null = F.lit(None).cast("bigint")
+    plain = scored.withColumns({k: null for k in ("a1", "a2", "b1", "b2")})
+    near = {(r.a, r.b): r for r in matching.mutual(plain, least).collect()}
+    assert nearest and set(near) == nearest
+    for (x, y), r in near.items():
+        gap = lambda q, d, s: s - max([least, *(w for (i, j), (wj, wi) in want.items() for o, w in (((j, wj),) if i == q else ((i, wi),) if j == q else ()) if table(o) == table(d) and w < best[q, table(d)] - 1e-9)])
+        assert r.gap == pytest.approx(min(gap(x, y, want[x, y][0]), gap(y, x, want[x, y][1])))
+
+
+def test_calibration_moves_from_the_prior():
+    rng = random.Random(3)
+    blank = [0.0] * (len(matching.TOLD) - 2)
+    rows = [([s := rng.uniform(0, 6), s / 2, *blank], s > 3) for _ in range(200)]
+    w = matching.calibrate(rows)
+    assert w[1] + w[2] / 2 > 1.5 and all(((w[0] + w[1] * f[0] + w[2] * f[1]) > 0) == m for f, m in rows if abs(f[0] - 3) > 0.3)
+    assert not matching.calibrate([]).any()
 
 
 # 8 Containers --------------------------------------------------------------------------------------------------------
