@@ -157,26 +157,21 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, clean_text, n_spans, removed_words, dropped) of every document that leaks.
 
     Maximal leaking spans are cut out of the text; where they hold more than the share `coverage` of its words the
-    document counts as dropped and clean_text is empty. Items are taken in one block: more than BLOCK_WORDS words
-    raise, so that spans of several blocks are never cut one by one.
+    document counts as dropped and clean_text is empty. Repeated rows count once. Every block of items is a pass over
+    the documents that finds spans; only the leaking documents, with their texts, are gathered to join the spans of all
+    blocks, so any number of items gives what one block would.
     """
-    a = list(_blocks(items, item_id, item_text, least))
-    if len(a) > 1:
-        raise ValueError("too many words of items for one automaton; clean in several calls")
 
-    def one(a, doc, t):
+    def find(a, doc, t):
         if not t:
             return
+        spans = merged([end - length + 1, end] for end, length, _ in a.runs(words(t)))
+        if spans:
+            yield doc, t, [x for s in spans for x in s]
+
+    def cut(doc, t, found):
+        spans = merged(sorted([a, b] for own in found for a, b in zip(own[::2], own[1::2])))
         at = [m.span() for m in _WORD.finditer(t)]
-        doc_words = [t[x:y].casefold() for x, y in at]
-        spans: list[list[int]] = []
-        for end, length, _ in a.runs(doc_words):
-            if spans and end - length <= spans[-1][1]:
-                spans[-1] = [min(spans[-1][0], end - length + 1), end]
-            else:
-                spans.append([end - length + 1, end])
-        if not spans:
-            return
         gone = sum(y - x + 1 for x, y in spans)
         if gone > coverage * len(at):
             yield doc, "", len(spans), gone, True
@@ -187,5 +182,21 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
             last = at[y][1]
         yield doc, "".join(parts) + t[last:], len(spans), gone, False
 
-    schema = "doc_id bigint, clean_text string, n_spans int, removed_words int, dropped boolean"
-    return _per_block(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items, item_id, item_text, least, one, schema)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = _per_block(texts, items, item_id, item_text, least, find, "doc_id bigint, text string, spans array<int>")
+    whole = found.groupBy("doc_id", "text").agg(F.collect_set("spans").alias("found"))
+    return map_rows(whole, cut, "doc_id bigint, clean_text string, n_spans int, removed_words int, dropped boolean")
+
+
+def merged(spans) -> list[list[int]]:
+    """Spans in order of their ends or starts, those that meet or overlap joined."""
+    out: list[list[int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1] + 1:
+            out[-1] = [min(out[-1][0], a), max(out[-1][1], b)]
+            while len(out) > 1 and out[-1][0] <= out[-2][1] + 1:
+                last = out.pop()
+                out[-1] = [min(out[-1][0], last[0]), max(out[-1][1], last[1])]
+        else:
+            out.append([a, b])
+    return out

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_rows
+from ..session import Scratch
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
-#: Slots that one row of the plan is expanded to at most, and parts that the ranks of one length are counted in.
-CHUNK, SALT = 100_000, 32
+#: Slots that one row of the plan is expanded to at most, and texts that are ranked in one part of a length, on average.
+CHUNK, PART = 100_000, 100_000
 
 
 @lru_cache(4)
@@ -40,14 +41,14 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kn
     """(doc_id, n): tokens of every text.
 
     Without a vocabulary tokens are words and punctuation runs (`\\w+|[^\\w\\s]+`), and where the column `known`
-    already has their number the text isn't counted again. vocabulary is the path of a byte-pair file of public
+    already has their number that is trusted and the text isn't counted. vocabulary is the path of a byte-pair file of public
     ranks, readable on every executor. A null text has no token.
     """
 
     def count(i, t):
         if t is None:
             return ((i, 0),)
-        return ((i, len(_bpe(vocabulary, pattern).encode_ordinary(t)) if vocabulary else sum(1 for _ in _WORD.finditer(t))),)
+        return ((i, len(_bpe(vocabulary, pattern).encode_ordinary(t)) if vocabulary else len(_WORD.findall(t))),)
 
     if not known or vocabulary:
         return map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), count, "doc_id bigint, n bigint")
@@ -106,9 +107,13 @@ def pack(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     counts: (doc_id, n); kinds: (kind_name, capacity_tokens), a short fixed list. Containers are named `full:<doc_id>:
     <piece>` if one text fills them, else `mixed:<number>`. Texts without tokens need no container; kinds without a
     name or a positive capacity are left out. Equal lengths are told apart by rank, repeated rows are packed as often
-    as they come. The histogram, at most one number per token of capacity, is all that the driver sees.
+    as they come. The histogram, at most one number per token of capacity, is all that the driver sees, and the plan
+    that it sends back has at most one row per length and room, whatever the number of texts, but for pieces of CHUNK.
+    The counts are written first, so whatever they are made of is read once.
     """
     spark = counts.sparkSession
+    counts = Scratch(spark, "tokens").put(counts)
+    salt = max(8, counts.count() // PART + 1)
     sizes = {r.kind_name: int(r.capacity_tokens) for r in kinds.select("kind_name", "capacity_tokens").distinct().collect() if r.kind_name is not None and (r.capacity_tokens or 0) > 0}
     schema = "kind_name string, container string, doc_id bigint, piece bigint, first_token bigint, n_tokens bigint"
     if not sizes:
@@ -117,7 +122,7 @@ def pack(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     each = counts.filter("n > 0").select("doc_id", "n", kind).select("doc_id", "n", "k.*").withColumns({"full": F.expr("n div capacity"), "length": F.col("n") % F.col("capacity")})
     whole = each.filter("full > 0").select("kind_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
     whole = whole.select("kind_name", F.concat(F.lit("full:"), "doc_id", F.lit(":"), "piece").alias("container"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"))
-    rest = each.filter("length > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    rest = each.filter("length > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int"))
 
     parts = rest.groupBy("kind_name", "length", "part").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("kind_name", "length").orderBy("part")

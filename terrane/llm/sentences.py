@@ -45,7 +45,6 @@ _LATIN = re.compile("[0-9A-Za-zÀ-ɏ๐-๙]")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _SKIP = re.compile(r"[\s\"“”„«»‘’‚「『(（\[{《【¿¡*•#-]*")
 _TOKEN = re.compile(r"\S+")
-_NUMERAL = re.compile(r"(?:(\w+)\s+)?\d+\Z")
 
 
 def _trie(entries: list[str], kind: str, into: dict) -> None:
@@ -147,21 +146,39 @@ def _period_ends(text: str, at: int, k: int, start: int, end: int) -> bool:
         return False
     if kind == "may":
         return follows in ("upper", "caseless", "name")
-    before = text[max(start, at - 40) : at]
-    c = before[-1:]
-    if kind != "number" and c.isalpha() and not (len(before) > 1 and _wordy(before[-2])):
-        unit = c.islower() and re.search(r"\d\s*\w\Z", before)
-        if not unit:
+    c = text[at - 1] if at > start else ""
+    inside = at - 2 >= start and _wordy(text[at - 2])
+    if kind != "number" and c.isalpha() and not inside and at - 2 >= start:
+        i = at - 2
+        while i > start and text[i].isspace():
+            i -= 1
+        if not (c.islower() and text[i].isdigit()):  # a unit may end a sentence, an initial doesn't
             return False
-    if kind == "number" and len(before) > 1 and c.isupper() and not _wordy(before[-2]):
+    elif kind != "number" and c.isalpha() and not inside:
         return False
-    if m := _NUMERAL.search(before):
+    if kind == "number" and at - 2 >= start and c.isupper() and not inside:
+        return False
+    i = at
+    while i > start and text[i - 1].isdecimal():
+        i -= 1
+    if i < at:
+        j = i
+        while j > start and text[j - 1].isspace():
+            j -= 1
+        w = j
+        while w > start and (text[w - 1].isalnum() or text[w - 1] == "_"):
+            w -= 1
         word = _TOKEN.match(text, k, end)
-        if (m[1] or "").lower() in ORDINAL_AFTER or (word and word[0].strip(".,;:!?").lower() in MONTHS):
+        if (text[w:j].lower() if j < i else "") in ORDINAL_AFTER or (word and word[0].strip(".,;:!?").lower() in MONTHS):
             return False
     return follows != "lower"
 
 
+def _opens(text: str, at: int, start: int, end: int) -> bool:
+    """Whether a straight quote can open: not as a sign of inches or seconds after a digit, nor after a word, nor before a blank."""
+    return (at == start or not text[at - 1].isalnum()) and at + 1 < end and not text[at + 1].isspace()
+
+
 def _block_ends(text: str, start: int, mark: int, end: int) -> Iterator[int]:
     stack: list[tuple[str, int, bool, bool]] = []  # closing sign, its opening place, whether it begins a sentence, whether a colon led to it
     begin = i = mark
@@ -211,6 +228,8 @@ def _block_ends(text: str, start: int, mark: int, end: int) -> Iterator[int]:
                 yield i
                 begin = i
             continue
+        if c == '"' and not _opens(text, i - 1, begin, end):
+            continue
         if c in OPEN and not (c == '"' and stack and stack[-1][0] == '"'):
             close = OPEN[c]
             if closing.get(close, -1) < i:

@@ -130,7 +130,10 @@ def components_of(links):
     return {x: min(g, key=str.encode) for g in groups.values() if len(g) > 1 for x in g}
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("tail", [0, components.TAIL])
+def test_groups(spark, monkeypatch, tail):
+    """Also with every level distributed, and with groups that hold a share of all members."""
+    monkeypatch.setattr(components, "TAIL", tail)
     rng = random.Random(5)
     links = [(f"c{i}", f"c{i + 1}") for i in range(60)] + [("hub", f"s{i}") for i in range(80)] + [(f"r{rng.randint(0, 90)}", f"r{rng.randint(0, 90)}") for _ in range(70)] + [("é", "z"), ("b", "a"), ("a", "b"), ("a", "a"), ("lone", "lone")]
     d = spark.createDataFrame([*links, (None, "a"), ("a", None)], "p string, q string")
@@ -337,6 +340,18 @@ def test_clean(spark):
     assert got == {1: ("before " * 30 + " after", 15, False), 2: ("", 15, True)}
 
 
+def test_clean_in_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("ab c d E f gh".split()) for _ in range(n))
+    items = spark.createDataFrame([(i, text(rng.randint(5, 20))) for i in range(12)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, "x, " + text(rng.randint(0, 60)) + " y y y y y y y y y y y y.") for i in range(40)] + [(1, "twice")] * 2, "doc_id bigint, text string")
+    one = sorted(tuple(r) for r in leakage.clean(docs, items, least=4, coverage=0.8).collect())
+    assert sum(not r[4] for r in one) > 5
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 50)
+    assert one == sorted(tuple(r) for r in leakage.clean(docs, items, least=4, coverage=0.8).collect())
+    assert leakage.clean(docs, items.limit(0)).count() == 0
+
+
 # 10 Sentences --------------------------------------------------------------------------------------------------------
 
 SENTENCES = [
@@ -372,6 +387,8 @@ def test_sentences(parts, blank):
         ("ขั้นตอนนี้อ่าน 60 แถว ทำไมช้า", ["ขั้นตอนนี้อ่าน 60 แถว", "ทำไมช้า"]),
         ("﻿Ab. Cd", ["﻿Ab.", "Cd"]),
         ("no end", ["no end"]),
+        ('The 5" bolt fits. It is good. A 6" bolt does not. Done.', ['The 5" bolt fits.', "It is good.", 'A 6" bolt does not.', "Done."]),
+        ("It is " + "9" * 60 + ". Am " + "1" * 60 + ". Mai kam er.", ["It is " + "9" * 60 + ".", "Am " + "1" * 60 + ". Mai kam er."]),
         ('an "open quote. Then more.', ['an "open quote.', "Then more."]),
         ("", []),
         (" \n\n ", []),
