@@ -97,3 +97,15 @@ def customer_code(c: Column) -> Column:
 def email_masked(c: Column) -> Column:
     """First two characters, two stars, the domain; null where there is no address."""
     return F.when(c.contains("@"), F.concat(F.substring(c, 1, 2), F.lit("**@"), F.substring_index(c, "@", -1)))
+
+
+def without_zone(c: Column) -> Column:
+    """A timestamp text as tills write it: no zone, no fraction of a second."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?:Z|[+-]00:?00)\z", ""), r"\.[0-9]+\z", "")
+
+
+def table_of(path: str) -> str | None:
+    """The table that a path of the Gold zone names: the segment after `gold`, without its extension; None elsewhere."""
+    parts = [p for p in path.replace("\\", "/").split("/") if p]
+    at = next((i for i, p in enumerate(parts) if p.lower() == "gold"), None)
+    return parts[at + 1].partition(".")[0] if at is not None and at + 1 < len(parts) else None

@@ -1,6 +1,6 @@
 """Gate as a process: JSON on stdin ({"table": ..., "path": ...} or {"table": ..., "rows": [...]}), exit code 0 to go on, 2 to stop.
 
-The table is named, not guessed from the path; without readable rows there is nothing to stop.
+A table that isn't named is that of the path, the segment after `gold`; without readable rows there is nothing to stop.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .functions.values import table_of
 from .operators.quality import CONTRACTS, check_gold_write, load_contract
 from .session import build_session
 
@@ -31,6 +32,8 @@ def decide(spark: SparkSession, text: str, audit: str | None = None, folder=CONT
         payload = json.loads(text)
     except ValueError:
         return 0, "no payload"
+    if isinstance(payload, dict) and not payload.get("table") and payload.get("path"):
+        payload["table"] = table_of(str(payload["path"]))
     if not isinstance(payload, dict) or not payload.get("table"):
         return 0, "not a Gold write"
     try:

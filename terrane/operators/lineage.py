@@ -59,15 +59,15 @@ def trace(audit: DataFrame, bronze: DataFrame, field: str, customer_id: str) ->
     return silver.unionByName(rows)
 
 
-# The registered sources: key and columns, fixed values.
+# The registered sources, each with its key and columns.
 REGISTRY = {
-    "pos": ("customer_id", "customer_id first_name last_name email phone address order_date total_amount".split()),
-    "ecommerce": ("email", "email_address_id business_entity_id email modified_date".split()),
-    "crm": ("business_entity_id", "business_entity_id first_name last_name phone address_line1 city state postal_code dob notes".split()),
-    "loyalty": ("loyalty_num", "loyalty_num store_name business_type annual_revenue".split()),
-    "merger_a": ("account_id", "account_id name dob address phone created_date".split()),
-    "merger_b": ("cust_code", "cust_code first_name last_name middle_name email phone".split()),
-    "merger_c": ("uuid", "uuid first_name last_name email phone address_line1 city state created_date".split()),
+    "pos": ("customer_id", ["customer_id", "store_id", "person_type", "name_style", "title", "first_name", "middle_name", "last_name", "suffix", "email", "phone", "modified_date", "order_date"]),
+    "ecommerce": ("email", ["email_address_id", "business_entity_id", "email", "modified_date"]),
+    "crm": ("business_entity_id", ["business_entity_id", "person_type", "first_name", "middle_name", "last_name", "phone", "address_line1", "city", "state", "postal_code"]),
+    "loyalty": ("loyalty_num", ["loyalty_num", "store_name", "business_type", "annual_revenue", "modified_date"]),
+    "merger_a": ("account_id", ["account_id", "name", "address", "phone", "created_date"]),
+    "merger_b": ("cust_code", ["cust_code", "first_name", "last_name", "middle_name", "email", "phone"]),
+    "merger_c": ("uuid", ["uuid", "first_name", "last_name", "email", "phone", "address_line1", "city", "state", "postal_code", "created_date"]),
 }
 
 

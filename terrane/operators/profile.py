@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import PII, positive_integer, present
+from ..sources.storage import newest_json, write_new
+from .lineage import REGISTRY
 
-#: Share of each dimension in the health of a source, in percent.
+# Share of each dimension in the health of a source, in percent.
 WEIGHTS = {"completeness": 25, "freshness": 20, "key_coverage": 25, "anomaly": 20, "pii": 10}
 FRESH_HOURS, STALE_HOURS = 24, 365 * 24
 
@@ -31,7 +35,9 @@ def profile(df: DataFrame, s: Source, now: datetime) -> DataFrame:
     cells = sum((F.count_if(present(F.col(c))) for c in s.columns), F.lit(0))
     seconds = F.lit(int(now.timestamp())) - F.unix_seconds(F.max(F.col(s.newest)).cast("timestamp")) if s.newest else F.lit(STALE_HOURS * 3600)
     flags = [F.when(F.count_if(F.coalesce(t, F.lit(False))) > 0, F.lit(n)) for n, t in s.anomalies] or [F.lit(None).cast("string")]
-    personal = [F.max(F.when(F.coalesce(F.col(c).cast("string").rlike("|".join(PII.values())), F.lit(False)), 1).otherwise(0)) for c in s.columns]
+    # the patterns need an @ or a digit and a separator, so most cells are told by a character
+    worth = lambda v: v.contains("@") | v.rlike("[0-9][-. )]")
+    personal = [F.max(F.when(F.coalesce(worth(v) & v.rlike("|".join(PII.values())), F.lit(False)), 1).otherwise(0)) for v in (F.col(c).cast("string") for c in s.columns)]
     d = df.agg(F.count(F.lit(1)).alias("n"), cells.alias("cells"), F.count_if(F.coalesce(s.valid_key, F.lit(False))).alias("keys"), seconds.alias("age"), F.array_compact(F.array(*flags)).alias("found"), sum(personal, F.lit(0)).alias("personal"))
     n, span = F.col("n"), (STALE_HOURS - FRESH_HOURS) * 3600
     some = lambda c: F.when(n > 0, F.greatest(F.lit(0), F.least(F.lit(100), c))).otherwise(0).cast("bigint")
@@ -47,6 +53,21 @@ def profile(df: DataFrame, s: Source, now: datetime) -> DataFrame:
     return d.withColumn("health", F.floor(health / 100).cast("bigint"))
 
 
+SAMPLE, TOP_ISSUES = 5, 3
+
+
+def top_issues(profile_row: dict) -> list[str]:
+    """The three worst things of a source: its weakest dimensions below 100 and its anomalies, the lowest score first."""
+    low = [(profile_row[k], f"{k} {profile_row[k]}") for k in WEIGHTS if profile_row[k] < 100]
+    odd = [(profile_row["anomaly"], x) for x in profile_row["issues"].split(",") if x]
+    return [x for _, x in sorted(low + odd, key=lambda x: x[0])][:TOP_ISSUES]
+
+
+def sample(df: DataFrame, order: str) -> DataFrame:
+    """The first rows of a source, for a profiler outside."""
+    return df.orderBy(order).limit(SAMPLE)
+
+
 def profile_all(tables: dict[str, DataFrame], sources: list[Source], now: datetime) -> DataFrame:
     """All sources, the least healthy first."""
     out = None
@@ -56,17 +77,41 @@ def profile_all(tables: dict[str, DataFrame], sources: list[Source], now: dateti
     return out.orderBy("health", "source")
 
 
+Client = Callable[[DataFrame, Source], dict]  # a source and its rows -> the columns of profile() as a dict
+
+
+def run_swarm(load: Callable[[str], DataFrame], sources: list[Source], now: datetime, client: Client | None = None) -> tuple[list[dict], dict[str, str]]:
+    """(profiles with top_issues, the least healthy first; errors by source): one that fails doesn't stop the others.
+
+    The sources' jobs run side by side, so the cluster's scheduler shares its executors between them.
+    """
+
+    def one(s: Source) -> dict:
+        df = load(s.name)
+        r = client(df, s) if client else profile(df, s, now).first().asDict()
+        return r | {"top_issues": top_issues(r)}
+
+    done, errors = [], {}
+    with ThreadPoolExecutor(max_workers=max(1, len(sources))) as pool:
+        for s, job in [(s, pool.submit(one, s)) for s in sources]:
+            try:
+                done.append(job.result())
+            except Exception as e:  # noqa: BLE001
+                errors[s.name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return sorted(done, key=lambda r: (r["health"], r["source"])), errors
+
+
 def overall(profiles: DataFrame) -> DataFrame:
     """The plain mean of health, to one place; 0.0 without sources."""
     return profiles.agg(F.coalesce(F.bround(F.avg("health"), 1), F.lit(0.0)).alias("overall_health"), F.count(F.lit(1)).alias("sources"))
 
 
-def dashboard(profiles: DataFrame, path: str, now: datetime) -> dict:
-    """Write the dashboard of a few sources as one JSON document."""
-    rows = [r.asDict() for r in profiles.collect()]
-    board = {"overall_health_score": overall(profiles).first().overall_health, "generated_at": now.isoformat(), "sources": rows, "errors": []}
-    with open(path, "w") as f:
-        json.dump(board, f, indent=2)
+def dashboard(spark: SparkSession, rows: list[dict], errors: dict[str, str], folder: str, now: datetime) -> dict:
+    """Write the dashboard of a few sources as one JSON document, a new one each time, through the session's file system."""
+    mean = round(sum(r["health"] for r in rows) / len(rows), 1) if rows else 0.0
+    board = {"overall_health_score": mean, "generated_at": now.isoformat(), "sources": rows, "errors": errors}
+    number, _ = newest_json(spark, folder)
+    write_new(spark, f"{folder}/{number + 1:012d}.json", json.dumps(board, indent=2, default=str))
     return board
 
 
@@ -87,5 +132,10 @@ def registered(name: str, newest: str | None = None) -> Source:
         return Source(name, cols, "business_entity_id", positive_integer(c("business_entity_id")), newest, odd)
     if name == "merger_a":
         return Source(name, tuple("account_id name dob address phone".split()), "account_id", positive_integer(c("account_id").cast("string")), newest, (("reversed_name", c("name").contains(",")),))
+    if name in ("ecommerce", "loyalty", "merger_b"):
+        key, cols = REGISTRY[name]
+        valid = {"ecommerce": c(key).contains("@"), "loyalty": c(key).rlike(r"\A[0-9]{12}\z"), "merger_b": present(c(key))}[name]
+        odd = {"ecommerce": (("upper_mail", c(key).rlike("[A-Z]")), ("plus_tag", c(key).contains("+"))), "loyalty": (("lost_zeros", F.length(key) < 12),), "merger_b": (("decorated_key", c(key).rlike("[^0-9]")),)}[name]
+        return Source(name, tuple(cols), key, valid, newest, odd)
     cols = tuple("uuid first_name last_name email phone address_line1 city state".split())
     return Source(name, cols, "uuid", c("uuid").rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"), newest, (("plus_tag", c("email").contains("+")), ("upper_mail", c("email").rlike("[A-Z]"))))

@@ -46,7 +46,7 @@ class Rule:
     scan: Callable[[DataFrame], list[str]] | None = None
 
 
-def _rate(df: DataFrame, name: str) -> Column:
+def missing(df: DataFrame, name: str) -> Column:
     """Falsy values of a column; a column that is not there is falsy in every row."""
     if name not in df.columns:
         return F.count(F.lit(1))
@@ -60,15 +60,20 @@ def null_rate(name: str, threshold: float, policy: str = BREAK) -> Rule:
         share = v[f"null_{name}"] / v["n"] if v["n"] else 0.0
         return [f"{name}: {share:.1%} missing, at most {threshold:.1%} allowed"] if share > threshold else []
 
-    return Rule(f"null_rate_{name}", policy, lambda df: {f"null_{name}": _rate(df, name)}, judge)
+    return Rule(f"null_rate_{name}", policy, lambda df: {f"null_{name}": missing(df, name)}, judge)
+
+
+def drift(expected: list[str], columns: list[str]) -> tuple[list[str], list[str]]:
+    """(missing, unexpected) columns, lineage columns aside."""
+    have = {c for c in columns if c not in LINEAGE}
+    return sorted(set(expected) - have), sorted(have - set(expected))
 
 
 def schema_drift(expected: list[str]) -> Rule:
-    """Missing and unexpected columns, lineage columns aside; empty data passes."""
+    """Missing and unexpected columns; empty data passes."""
 
     def scan(df):
-        have = [c for c in df.columns if c not in LINEAGE]
-        lost, extra = sorted(set(expected) - set(have)), sorted(set(have) - set(expected))
+        lost, extra = drift(expected, df.columns)
         if not (lost or extra) or df.isEmpty():
             return []
         return [f"Missing columns: {lost}"] * bool(lost) + [f"Unexpected columns: {extra}"] * bool(extra)
@@ -76,6 +81,17 @@ def schema_drift(expected: list[str]) -> Rule:
     return Rule("schema_drift", BREAK, scan=scan)
 
 
+def null_explosion(name: str, baseline: float, most: float = 0.1, policy: str = ALERT) -> Rule:
+    """Share of falsy values more than `most` above the share that the column used to have."""
+    rule = null_rate(name, baseline + most, policy)
+    return Rule(f"null_explosion_{name}", policy, rule.aggregate, rule.judge)
+
+
+def matcher_regression(rate: float, baseline: float, budget: float = 0.01) -> Rule:
+    """The matcher's false-confidence rate against the stored one."""
+    return Rule("matcher_regression", BREAK, judge=lambda v: [f"false confidence {rate:.4f}, was {baseline:.4f}"] if rate - baseline > budget else [])
+
+
 def bounds(counts: list[int], sigma: float = 2.0) -> tuple[float, float]:
     """Inclusive range of usual volumes; a single or no baseline value counts as 10 % spread."""
     m = mean(counts) if counts else 0
@@ -88,9 +104,15 @@ def volume_anomaly(counts: list[int], sigma: float = 2.0) -> Rule:
     return Rule("volume_anomaly", ALERT, judge=lambda v: [] if low <= v["n"] <= high else [f"{v['n']} rows, expected {low:.0f} to {high:.0f}"])
 
 
+def judge_volume(counts: list[int], sigma: float = 2.0) -> Result:
+    """The volume rule for the first of the counts against the up to seven after it, newest first."""
+    rule = volume_anomaly(counts[1:8], sigma)
+    return Result(rule.rule_id, rule.policy, rule.judge({"n": counts[0] if counts else 0}))
+
+
 def volume_by_day(counts: DataFrame, day: str, n: str, *keys: str, sigma: float = 2.0) -> DataFrame:
-    """Each day's count against the seven rows before it; days without any baseline are no anomaly."""
-    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-7, -1)
+    """Each day's count against those of the seven days before it that have one; days without any baseline are no anomaly."""
+    w = Window.partitionBy(*keys).orderBy(F.unix_date(F.col(day))).rangeBetween(-7, -1)
     m = F.avg(n).over(w)
     s = F.when(F.count(n).over(w) > 1, F.stddev_samp(n).over(w)).otherwise(0.1 * m)
     d = counts.withColumns({"baseline": m, "spread": s})

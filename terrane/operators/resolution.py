@@ -114,3 +114,64 @@ def resolve_stars(scored: DataFrame, anchor: str, member: str) -> DataFrame:
     yes = F.coalesce("match", F.lit(False))
     d = scored.groupBy(anchor).agg(doubt.alias("doubt"), F.count_if(yes).alias("n_match"), F.count_if(~yes).alias("n_other"), F.count(F.lit(1)).alias("n_pairs"))
     return d.select(F.col(anchor).alias("anchor_id"), F.when(F.col("doubt"), "review").otherwise("resolved").alias("status"), F.when(F.col("doubt"), 0).otherwise(F.col("n_match")).cast("bigint").alias("members"), F.col("n_other").alias("non_matches"), "n_pairs")
+
+
+def resolve_clusters(members: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(golden, review, dropped): golden records of clusters, clusters for a person to look at, members that were not confirmed.
+
+    members: (cluster_id, member_pos, source_system, field, value); the member of the least position is the anchor.
+    verdicts: (cluster_id, member_pos, match, confidence), the matcher's answers for the anchor and that member. Any
+    confidence below one half, or missing, sends the whole cluster to review, whatever the verdict. Else the anchor and
+    the confirmed members make the golden record; of several of one source the last counts. A cluster of one member is
+    golden as it is, with record_confidence null: nothing was matched.
+    """
+    from .golden import golden_records, last_per_source
+
+    doubt = verdicts.groupBy("cluster_id").agg(F.bool_or(F.coalesce("confidence", F.lit(0.0)) < REVIEW).alias("doubt"))
+    review = doubt.filter("doubt").select("cluster_id", F.lit("low confidence").alias("reason"))
+    sizes = members.groupBy("cluster_id").agg(F.min("member_pos").alias("anchor"), (F.min("member_pos") == F.max("member_pos")).alias("alone"))
+    d = members.join(sizes, "cluster_id").join(doubt, "cluster_id", "left").filter(~F.coalesce("doubt", F.lit(False)))
+    yes = verdicts.filter("match").select("cluster_id", "member_pos").distinct().withColumn("yes", F.lit(True))
+    d = d.join(yes, ["cluster_id", "member_pos"], "left").withColumn("in", (F.col("member_pos") == F.col("anchor")) | F.coalesce("yes", F.lit(False)))
+    kept = d.filter("in").select("cluster_id", "field", "value", "source_system", F.col("member_pos").alias("pos"), "alone")
+    golden = golden_records(last_per_source(kept.drop("alone")))
+    alone = sizes.filter("alone").select("cluster_id", "alone")
+    score = F.when(F.coalesce("alone", F.lit(False)), F.lit(None).cast("double")).otherwise(F.col("record_confidence"))
+    golden = golden.join(alone, "cluster_id", "left").withColumn("record_confidence", score).drop("alone")
+    return golden, review, d.filter(~F.col("in")).select("cluster_id", "member_pos", "source_system").distinct()
+
+
+def write_review(review: DataFrame, folder: str, run_id: str) -> None:
+    """Append the clusters of a run to the review queue."""
+    review.write.mode("overwrite").json(f"{folder}/run_id={run_id}")
+
+
+def parse_reply(text: str) -> tuple[bool, float, str]:
+    """(match, confidence, reason) from a matcher's free text: the JSON from the first brace to the last. Without it a ValueError."""
+    import json
+
+    d = json.loads(text[text.find("{") : text.rfind("}") + 1])
+    try:
+        return bool(d["match"]), float(d["confidence"]), str(d.get("reason", ""))
+    except (KeyError, TypeError) as e:
+        raise ValueError(f"a reply without match or confidence: {text[:80]!r}") from e
+
+
+def reply_matcher(ask: Callable[[dict, dict], str]) -> Matcher:
+    """A matcher that asks an external one for every pair, in Arrow batches; ask gets both records and answers in free text.
+
+    Pairs need pair_id. A reply that can't be read is no match at confidence 0, so it goes to review.
+    """
+    from ..functions.arrow import map_rows
+
+    def matcher(pairs: DataFrame) -> DataFrame:
+        def one(i, a, b):
+            try:
+                yield i, *parse_reply(ask(dict(a or {}), dict(b or {})))
+            except ValueError as e:
+                yield i, False, 0.0, f"no answer: {e}"
+
+        answers = map_rows(pairs.select("pair_id", "record_a", "record_b"), one, "pair_id string, match boolean, confidence double, reason string")
+        return pairs.join(answers, "pair_id")
+
+    return matcher

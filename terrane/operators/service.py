@@ -24,19 +24,19 @@ class LineageService:
             return {"error": f"unknown zone {zone!r}", "zones": sorted(self.zones)}
         if name not in self._sources(zone):
             return {"error": f"no table {name!r} in {zone}", "tables": self._sources(zone)}
-        return read_zone(self.spark, self.zones[zone], name, *kinds).withColumn("_file", F.col("_metadata.file_name"))
+        return read_zone(self.spark, self.zones[zone], name, *kinds).withColumns({"_file": F.col("_metadata.file_name"), "_row": F.monotonically_increasing_id()})
 
     def preview_table(self, zone: str, table: str, limit: int = 10) -> dict:
         df = self._table(zone, table)
         if isinstance(df, dict):
             return df
-        return {"rows": [r.asDict(True) for r in preview(df, ["run_id", "_file"], limit).collect()], "total_files": df.select("_file").distinct().count()}
+        return {"rows": [r.asDict(True) for r in preview(df, ["run_id", "_file", "_row"], limit).drop("_row").collect()], "total_files": df.select("_file").distinct().count()}
 
     def find_record(self, zone: str, field: str, value: str, table: str) -> dict:
         df = self._table(zone, table)
         if isinstance(df, dict):
             return df
-        rows = [r.asDict(True) for r in find_record(df, field, value, ["run_id", "_file"]).collect()]
+        rows = [r.asDict(True) for r in find_record(df, field, value, ["run_id", "_file", "_row"]).drop("_row").collect()]
         return {"rows": [{k: v for k, v in r.items() if k != "truncated"} for r in rows], "truncated": bool(rows) and rows[0]["truncated"]}
 
     def trace_lineage(self, audit, zone: str, table: str, field: str, customer_id: str) -> dict:

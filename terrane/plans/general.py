@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.change_feed import BucketedTable
 from ..operators.timestamps import order_instants
 from ..session import table, work_dir
-from ..sources.csv_grammar import error_rows, parse_joined, parse_records, valid_rows
+from ..sources.csv_grammar import COLUMNS, error_rows, parse_joined, parse_records, valid_rows
 
 
 def _current(spark: SparkSession, sf: str, batches: int = 2) -> DataFrame:
@@ -101,4 +101,16 @@ UNION ALL {_bad("crm", 1, "business_entity_id", _KEY_BAD)}
 UNION ALL {_bad("crm", 9, "dob", _DATE_BAD)}
 """
 
-SQL = {"p3_found": P3_SQL}
+_VALID = P3_SQL[: P3_SQL.index("SELECT raw_id, 'row'")] + "SELECT raw_id, {cols} FROM whole WHERE source_system = '{source}' AND NOT ({bad})"
+
+
+def _valid_sql(source: str, rules: dict[int, str], typed: dict[int, str]) -> str:
+    bad = " OR ".join("(" + rule.format(v=f"trim(f[{i}], ' ')") + ")" for i, rule in rules.items())
+    cols = ", ".join(typed.get(i, "f[{i}]").format(i=i) + f" AS {n}" for i, n in enumerate(COLUMNS[source], 1))
+    return _VALID.format(cols=cols, source=source, bad=bad)
+
+
+P3_POS_SQL = _valid_sql("pos", {1: _KEY_BAD, 7: _STAMP_BAD, 8: _AMOUNT_BAD}, {1: "trim(f[{i}], ' ')", 7: "try_cast(trim(f[{i}], ' ') AS TIMESTAMP)", 8: "try_cast(trim(f[{i}], ' ') AS DECIMAL(18, 2))"})
+P3_CRM_SQL = _valid_sql("crm", {1: _KEY_BAD, 9: _DATE_BAD}, {1: "trim(f[{i}], ' ')", 9: "try_cast(trim(f[{i}], ' ') AS DATE)"})
+
+SQL = {"p3_found": P3_SQL, "p3_valid_pos": P3_POS_SQL, "p3_valid_crm": P3_CRM_SQL}

@@ -110,16 +110,23 @@ def parse_record(text: str) -> Parsed:
 def parse_text(text: str, columns: int, key: str = r"\s*\d+\s*") -> Iterator[Parsed]:
     """All records of a text. After a syntax error parsing resumes at the next validated record start.
 
-    A record over several lines with another number of columns may have swallowed others between two stray quotes, so
-    parsing resumes at the first validated start inside of it, if there is one.
+    A start is validated by a key and either a whole record of the right size, over as many lines as it takes, or a
+    line with the commas of one, which may be broken itself: every broken record is an error of its own. A record over
+    several lines with another number of columns may have swallowed others between two stray quotes, so parsing resumes
+    at the first validated start inside of it, if there is one.
     """
     g, is_key = Grammar(text, False), re.compile(rf'"?(?:{key})"?(?:,|$)')
     starts = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
 
     def begins(at: int) -> bool:
+        if is_key.match(text, at) is None:
+            return False
+        k = bisect_right(starts, at)
+        if text.count(",", at, starts[k] if k < len(starts) else len(text)) >= columns - 1:
+            return True
         probe = Grammar(text, False)
         probe.at = at
-        return is_key.match(text, at) is not None and not (p := probe.record()).error and len(p.fields) == columns
+        return not (p := probe.record()).error and len(p.fields) == columns
 
     while g.at < len(text):
         r = g.record()

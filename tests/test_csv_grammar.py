@@ -96,3 +96,14 @@ def test_joined_lines(spark, monkeypatch):
         got = {(r.raw_id, r.syntax_error, len(r.fields)) for r in csv_grammar.parse_joined(df).collect()}
         assert want <= got and (98, None, 1) in got and not any(i == 99 for i, _, _ in got)
     assert "p3_texts" in entry.queries()
+
+
+def test_every_broken_record_is_an_error_of_its_own():
+    """Also thousands in a row, in time that grows with the text."""
+    import time
+
+    bad, good = '{},a,b,c,d,"e,2024-01-01T00:00:00,1', "{},a,b,c,d,e,2024-01-01T00:00:00,1"
+    lines = [(bad if n % 3 else good).format(n + 1) for n in range(6000)]
+    began = time.process_time()
+    got = [(r.fields[0], bool(r.error)) for r in parse_text("\n".join(lines), 8)]
+    assert got == [(str(n + 1), n % 3 > 0) for n in range(6000)] and time.process_time() - began < 20
