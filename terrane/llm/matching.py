@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import map_rows
 from ..functions.columns import stage
+from ..operators.resolution import STREET as STREETS
 from ..session import Scratch
 from .mojibake import Repairer, shipped_pairs
 
-# Short forms of given names, endings of street names, unit words, letters that don't decompose.
+# Short forms of given names, unit words, letters that don't decompose.
 NICKNAMES = {
     "alexander": "alex sandy lex", "abigail": "abby gail", "anthony": "tony", "benjamin": "ben benny", "beatrix": "bea trixie", "camilla": "cam millie", "catherine": "cathy kate",
     "christopher": "chris kit", "daniel": "dan danny", "deborah": "deb debbie", "dorothea": "dory dot dora thea dottie", "edward": "ed ted ned eddie", "elizabeth": "liz beth eliza betty lizzie bess",
@@ -32,7 +33,6 @@ NICKNAMES = {
     "raymond": "ray", "rebecca": "becky becca", "richard": "rick dick rich rickie", "robert": "bob rob bobby", "rosalind": "roz ros", "samantha": "sam sammie", "samuel": "sam", "stephen": "steve",
     "theodora": "theo dora", "theodore": "theo ted", "thomas": "tom tommy", "victoria": "vicky tori vic", "walter": "walt", "wallace": "wally", "william": "will bill billy liam", "winston": "win", "yvette": "evie",
 }
-STREETS = {"street": "st", "avenue": "ave", "road": "rd", "lane": "ln", "drive": "dr", "court": "ct", "place": "pl", "boulevard": "blvd"}
 UNITS = ("apt", "unit", "apartment", "suite", "ste")
 PLAIN = {"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "þ": "th", "đ": "d", "ð": "d", "ı": "i", "œ": "oe", "ς": "σ"}
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -265,8 +265,8 @@ def compare(pairs: DataFrame) -> DataFrame:
     return told.select(*cols, *[flag(f).alias(f) for f in FEATURES])
 
 
-def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) with the BM25 score of b for a as query (ab) and of a for b (ba), the FEATURES, and hashes of what makes two keys of one table one person (a1, a2, b1, b2)."""
+def judged(pairs: DataFrame, docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b) of pairs that reach the least score in a direction, with the BM25 score of b for a as query (ab) and of a for b (ba), the FEATURES, and hashes of what makes two keys of one table one person (a1, a2, b1, b2)."""
     whole = lambda names: F.transform(F.filter("v", lambda v: F.array_min(F.array(*[F.length(v[n]) for n in names])) > 0), lambda v: F.xxhash64(*[v[n] for n in names]))
     one = docs.select("rid", "v", F.coalesce("t", F.array().cast("array<struct<h:bigint,idf:double,imp:double>>")).alias("t"), F.array_min(whole(("first", "last", "phone"))).alias("g1"), F.array_min(whole(("first", "last", "house", "street", "dob"))).alias("g2"))
     side = lambda k, s: one.select(F.col("rid").alias(k), F.col("v").alias(f"{s}v"), F.col("t").alias(f"{k}t"), F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"))
@@ -275,7 +275,7 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     common = F.array_intersect(hs("at"), hs("bt"))
     score = lambda t: F.aggregate(F.filter(t, lambda x: F.array_contains("common", x["h"])), F.lit(0.0), lambda s, x: s + x["idf"] * x["imp"])
     d = stage(d, {"common": common}).withColumns({"ab": score("bt"), "ba": score("at")}).drop("common", "at", "bt")
-    return compare(d)
+    return compare(stage(d, {"ab": F.col("ab"), "ba": F.col("ba")}).filter((F.col("ab") >= least) | (F.col("ba") >= least)))
 
 
 def _table(rid: str) -> Column:
@@ -337,7 +337,7 @@ def match_people(crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame, golde
     n, mean = docs.agg(F.count(F.lit(1)), F.avg("size")).first()
     log = math.log(max(n, 2))
     docs = index(docs, n, mean or 1.0, LEAST * log, scratch)
-    scored = scratch.put(judged(candidates(docs), docs))
+    scored = scratch.put(judged(candidates(docs), docs, LEAST * log))
     label = F.col("a").startswith("label_") | F.col("b").startswith("label_")
 
     # labelled pairs, found by the search or not, with the best other partner of either record
