@@ -166,6 +166,11 @@ def _labelled(golden: DataFrame) -> DataFrame:
 _NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the tables, never broadcast: arrays and generators are far larger than the planner's estimate from file sizes, so the driver would hold hundreds of MB."""
+    return df.hint("merge")
+
+
 def _terms(v: Column) -> Column:
     """The terms of one row, hashed: attributes alone, which are common, and joined, which are rare."""
 
@@ -202,14 +207,14 @@ def index(docs: DataFrame, n: int, mean: float, least: float, scratch: Scratch)
     df = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.max("imp").alias("most"), F.min("source").alias("s"), F.max("source").alias("z")).filter("s < z")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.select("h", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
-    own = each.join(weights, "h").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("o"), "h", "imp", "bound"))).alias("t"))
+    own = each.join(_merged(weights), "h").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("o"), "h", "imp", "bound"))).alias("t"))
     total = F.aggregate("t", F.lit(0.0), lambda s, x: s + x["bound"])
     cut = F.aggregate(
         "t", F.struct(total.alias("rest"), F.array().cast("array<bigint>").alias("prefix")),
         lambda s, x: F.when(s["rest"] >= least, F.struct((s["rest"] - x["bound"]).alias("rest"), F.array_append(s["prefix"], x["h"]).alias("prefix"))).otherwise(s), lambda s: s["prefix"],
     )
     found = own.select("rid", F.transform("t", lambda x: F.struct(x["h"].alias("h"), (-x["o"]).alias("idf"), x["imp"].alias("imp"))).alias("t"), cut.alias("prefix"))
-    return scratch.put(docs.select("rid", "source", "v").join(found, "rid", "left").select("rid", "source", "v", "t", "prefix"))
+    return scratch.put(docs.select("rid", "source", "v").join(_merged(found), "rid", "left").select("rid", "source", "v", "t", "prefix"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -217,7 +222,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     posts = docs.select("rid", "source", F.explode("prefix").alias("h"))
     x, y = (posts.select(F.col("rid").alias(k), F.col("source").alias(f"{k}s"), "h") for k in ("a", "b"))
     real = ~(F.col("as").startswith("label_") & F.col("bs").startswith("label_"))
-    return x.join(y, "h").filter((F.col("as") < F.col("bs")) & real).select("a", "b").distinct()
+    return x.join(_merged(y), "h").filter((F.col("as") < F.col("bs")) & real).select("a", "b").distinct()
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -270,7 +275,7 @@ def judged(pairs: DataFrame, docs: DataFrame, least: float = 0.0) -> DataFrame:
     whole = lambda names: F.transform(F.filter("v", lambda v: F.array_min(F.array(*[F.length(v[n]) for n in names])) > 0), lambda v: F.xxhash64(*[v[n] for n in names]))
     one = docs.select("rid", "v", F.coalesce("t", F.array().cast("array<struct<h:bigint,idf:double,imp:double>>")).alias("t"), F.array_min(whole(("first", "last", "phone"))).alias("g1"), F.array_min(whole(("first", "last", "house", "street", "dob"))).alias("g2"))
     side = lambda k, s: one.select(F.col("rid").alias(k), F.col("v").alias(f"{s}v"), F.col("t").alias(f"{k}t"), F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"))
-    d = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    d = pairs.join(_merged(side("a", "x")), "a").join(_merged(side("b", "y")), "b")
     hs = lambda t: F.transform(t, lambda x: x["h"])
     common = F.array_intersect(hs("at"), hs("bt"))
     score = lambda t: F.aggregate(F.filter(t, lambda x: F.array_contains("common", x["h"])), F.lit(0.0), lambda s, x: s + x["idf"] * x["imp"])
@@ -341,17 +346,18 @@ def match_people(crm: DataFrame, merger_a: DataFrame, merger_c: DataFrame, golde
     label = F.col("a").startswith("label_") | F.col("b").startswith("label_")
 
     # labelled pairs, found by the search or not, with the best other partner of either record
-    ids = docs.filter(F.col("source") == "label_a").select(F.col("rid").alias("a"), F.regexp_replace("rid", "^label_a", "label_b").alias("b"))
+    mine = docs.filter(F.col("source").startswith("label_"))  # at most 2 * LABELLED_ROWS
+    ids = mine.filter(F.col("source") == "label_a").select(F.col("rid").alias("a"), F.regexp_replace("rid", "^label_a", "label_b").alias("b"))
     way = lambda q, s: F.struct(F.col(q).alias("q"), F.col(s).alias("s"))
     others = scored.filter(label).select(F.explode(F.array(way("a", "ab"), way("b", "ba"))).alias("w")).groupBy("w.q").agg(F.max("w.s").alias("s"))
     best = lambda k: others.select(F.col("q").alias(k), F.col("s").alias(f"{k}o"))
-    known = judged(ids, docs).join(best("a"), "a", "left").join(best("b"), "b", "left")
+    known = judged(ids, mine).join(best("a"), "a", "left").join(best("b"), "b", "left")
     gap = F.least(F.col("ab") - F.coalesce("ao", F.lit(LEAST * log)), F.col("ba") - F.coalesce("bo", F.lit(LEAST * log)))
     rows = known.select("a", ((F.col("ab") + F.col("ba")) / (2 * log)).alias("score"), (gap / log).alias("gap"), *FEATURES).collect()  # at most LABELLED_ROWS
     w = [float(v) for v in calibrate([([r[k] for k in TOLD], r.a.endswith(":match")) for r in rows])]
 
     near = mutual(scored.filter(~label), LEAST * log)
-    told = near.join(scored.select("a", "b", *FEATURES), ["a", "b"]).withColumns({"score": F.col("score") / log, "gap": F.col("gap") / log})
+    told = near.join(_merged(scored.select("a", "b", *FEATURES)), ["a", "b"]).withColumns({"score": F.col("score") / log, "gap": F.col("gap") / log})
     logit = F.lit(w[0]) + sum((F.col(k) * F.lit(v) for k, v in zip(TOLD, w[1:])), F.lit(0.0))
     evidence = F.col("phone_same") + F.col("phone_slip") + F.col("dob_same") + F.col("street_same") + F.col("street_slip")
     agree = (F.col("phone_same") + F.col("street_same") + F.col("street_slip")) >= 2

@@ -247,6 +247,16 @@ def test_search_is_exact(spark):
         assert r.gap == pytest.approx(min(gap(x, y, want[x, y][0]), gap(y, x, want[x, y][1])))
 
 
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """The driver never builds a hash table of terms, postings or records, however small the planner takes them to be."""
+    from terrane.session import Scratch
+
+    plans, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, df))[1])
+    matching.match_people(*[spark.read.parquet(f"{SF}/{t}.parquet") for t in ("crm", "merger_a", "merger_c", "golden_pair")])
+    assert sum(p.count("SortMergeJoin") for p in plans) == 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_calibration_moves_from_the_prior():
     rng = random.Random(3)
     blank = [0.0] * (len(matching.TOLD) - 2)
